@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,31 +28,35 @@ SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: A rule: its name, the measured value that it judges, and the values from which it votes.
-#: A vote for quality is cast at or below ``good``, one against at or above ``bad``; between them it abstains.
-
 
 @dataclass(frozen=True)
 class Rule:
+    """A vote for quality at or below ``good``, against at or above ``bad``, else none; a None never votes that way."""
+
     name: str
-    good: float
-    bad: float
+    good: float | None
+    bad: float | None
 
     def vote(self, value: float) -> int:
-        return 1 if value <= self.good else -1 if value >= self.bad else 0
+        if self.good is not None and value <= self.good:
+            return 1
+        return -1 if self.bad is not None and value >= self.bad else 0
 
 
 RULES = (
-    Rule("symbols_per_word", 0.05, 0.25),
-    Rule("upper_share_of_letters", 0.2, 0.6),
-    Rule("repeated_words_share", 0.1, 0.3),
-    Rule("duplicate_lines_share", 0.1, 0.3),
-    Rule("words_without_letters_share", 0.1, 0.4),
-    Rule("odd_word_length", 0.0, 1.0),
-    Rule("exclamations_per_word", 0.05, 0.2),
-    Rule("short_text", 0.0, 1.0),
+    Rule("symbols_per_word", 0.02, 0.25),
+    Rule("share_of_words_not_plain", 0.1, 0.25),
+    Rule("upper_share_of_letters", None, 0.6),
+    Rule("repeated_words_share", None, 0.3),
+    Rule("duplicate_lines_share", None, 0.3),
+    Rule("odd_word_length", None, 1.0),
+    Rule("exclamations_per_word", None, 0.3),
+    Rule("odd_sentence_length", 0.0, 1.0),
 )
 
+#: A plain word: letters, marks, apostrophes and hyphens, or digits, in ordinary punctuation.
+_PLAIN = regex.compile(r"""["'(\[]?(?:[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|\p{N}+(?:[.,:]\p{N}+)*)[.,;:!?'")\]]{0,2}""").fullmatch
+
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string"
 
 
@@ -95,21 +100,22 @@ def measure(text: str | None) -> tuple[tuple[int, ...], str]:
     if n:
         upper = sum(map(str.isupper, text))
         letters = upper + sum(map(str.islower, text))
-        wordless = sum(not w.strip(b"0123456789.,;:!?'\"()[]{}+-=/\\_@^~`" + SYMBOLS.encode()) for w in words)
+        plain = sum(n_w for w, n_w in Counter(words).items() if _PLAIN(w.decode("utf-8", "surrogatepass")))
         mean = chars / n
+        ends = text.count(".") + text.count("!") + text.count("?") + text.count("\u3002")
         values = (
             symbols / n,
+            1 - plain / n,
             upper / max(letters, 1),
             repeats / n,
             dup_lines / lines.total(),
-            wordless / n,
             float(not 2 <= mean <= 20),
             text.count("!") / n,
-            float(n < MIN_WORDS),
+            float(not 2 <= n / max(ends, 1) <= 60),
         )
         votes = "".join("-0+"[r.vote(v) + 1] for r, v in zip(RULES, values, strict=True))
     else:
-        votes = "0" * (len(RULES) - 1) + "-"
+        votes = "0" * len(RULES)
     return (n, chars, symbols, dup_lines, repeats, failed), votes
 
 
@@ -135,7 +141,7 @@ def fit_votes(counts: dict[str, int], rounds: int = 200, tolerance: float = 1e-9
         return 0.5, [0.8] * len(RULES), {}
     votes = np.array([["-0+".index(c) - 1 for c in p] for p in patterns], float)
     weight = np.array([counts[p] for p in patterns], float)
-    share, accuracy = 0.8, np.full(votes.shape[1], 0.8)
+    share, accuracy = 0.5, np.full(votes.shape[1], 0.8)
     for _ in range(rounds):
         logit = math.log(share / (1 - share)) + votes @ np.log(accuracy / (1 - accuracy))
         good = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, sentencepiece_codec
 
-_MODULES = (exact_dedup, quality_rules)
+_MODULES = (exact_dedup, quality_rules, sentencepiece_codec)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
