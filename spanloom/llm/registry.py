@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, sentencepiece_codec
-
-_MODULES = (exact_dedup, quality_rules, sentencepiece_codec)
+from . import exact_dedup, quality_rules, sentencepiece_codec, wavelet_store
+
+_MODULES = (
+    exact_dedup,
+    wavelet_store,
+    quality_rules,
+    sentencepiece_codec,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
