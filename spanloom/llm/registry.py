@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, sentencepiece_codec, wavelet_store
+from . import exact_dedup, quality_rules, sentencepiece_codec, warc_zip, wavelet_store
 
 _MODULES = (
+    warc_zip,
     exact_dedup,
     wavelet_store,
     quality_rules,
