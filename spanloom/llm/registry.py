@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, sentencepiece_codec, warc_zip, wavelet_store
+from . import exact_dedup, ngram_join, quality_rules, sentencepiece_codec, warc_zip, wavelet_store
 
 _MODULES = (
     warc_zip,
@@ -14,6 +14,7 @@ _MODULES = (
     wavelet_store,
     quality_rules,
     sentencepiece_codec,
+    ngram_join,
 )
 
 
