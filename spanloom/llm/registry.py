@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, quality_rules, sentencepiece_codec, warc_zip, wavelet_store
+from . import exact_dedup, line_spread, ngram_join, quality_rules, sentencepiece_codec, soft_mixing, warc_zip, wavelet_store
 
 _MODULES = (
+    soft_mixing,
     warc_zip,
     exact_dedup,
     wavelet_store,
     quality_rules,
+    line_spread,
     sentencepiece_codec,
     ngram_join,
 )
