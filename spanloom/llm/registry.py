@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_spread, ngram_join, quality_rules, sentencepiece_codec, soft_mixing, warc_zip, wavelet_store
+from . import exact_dedup, line_spread, ngram_join, quality_rules, sentencepiece_codec, soft_mixing, url_templates, warc_zip, wavelet_store
 
 _MODULES = (
     soft_mixing,
     warc_zip,
+    url_templates,
     exact_dedup,
     wavelet_store,
     quality_rules,
