@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_spread, ngram_join, quality_rules, sentencepiece_codec, soft_mixing, url_templates, warc_zip, wavelet_store
+from . import exact_dedup, line_spread, ngram_join, quality_rules, sentencepiece_codec, soft_mixing, suffix_dedup, url_templates, warc_zip, wavelet_store
 
 _MODULES = (
     soft_mixing,
@@ -14,6 +14,7 @@ _MODULES = (
     url_templates,
     exact_dedup,
     wavelet_store,
+    suffix_dedup,
     quality_rules,
     line_spread,
     sentencepiece_codec,
