@@ -311,19 +311,32 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's bits of anchors seen, and seen twice, in compressed slabs."""
-    once, twice = (np.zeros(1 << FILTER_BITS, bool) for _ in range(2))
+    """Bits of the anchors that the task saw, and saw twice, in compressed slabs; some at a time, to bound memory."""
+    held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
         for x in batch.column(0):
-            bits = np.sort(_bits(anchors(_utf8(x.as_py()))[0]))
-            twice[bits[once[bits]]] = True
-            twice[bits[1:][bits[1:] == bits[:-1]]] = True
-            once[bits] = True
+            held.append(_bits(anchors(_utf8(x.as_py()))[0]).astype(np.uint32))
+            size += len(held[-1])
+            if size >= 1 << 23:
+                yield from _slabs(np.concatenate(held))
+                held, size = [], 0
+    if size:
+        yield from _slabs(np.concatenate(held))
+
+
+def _slabs(bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
-    for slab in range(_SLABS):
-        part = slice(slab << (FILTER_BITS - 8), (slab + 1) << (FILTER_BITS - 8))
-        if once[part].any():
-            raw = [press.compress(np.packbits(x[part]).tobytes()) for x in (once, twice)]
+    bits, times = np.unique(bits, return_counts=True)
+    width = 1 << (FILTER_BITS - 8)
+    cuts = np.searchsorted(bits, np.arange(_SLABS + 1, dtype=np.uint64) * width).tolist()
+    for slab, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            here, raw = bits[a:b] - np.uint32(slab * width), []
+            for some in (here, here[times[a:b] > 1]):
+                flags = np.zeros(width, bool)
+                flags[some] = True
+                raw.append(press.compress(np.packbits(flags).tobytes()))
             yield pa.RecordBatch.from_pydict({"slab": pa.array([slab], pa.int32()), "once": pa.array([raw[0]], pa.binary()), "twice": pa.array([raw[1]], pa.binary())})
 
 
