@@ -5,10 +5,10 @@ among their rarest ones, so each entity brings that prefix of its set alone. Wit
 prefix n-gram, pairs are pruned by length, by position and by a suffix bound (how the sets spread over
 ranges of hashes), and what remains is verified on the whole sets, once a pair.
 
-Groups of one n-gram are never expanded into all pairs. Each round compares a group's first entity with
-the others; entities that are linked by then need no comparison. The first entity leaves the group, and
+Groups of one n-gram are never expanded into all pairs. The first round compares a group's first
+entity with the others, later ones some more; entities that are linked by then need no comparison. Those that led leave the group, and
 rounds go on until every group is one component or, where few are left in it, their pairs across
-components are compared at once. So no link that could join two components is lost.
+components are compared at once, pruned inside the join. So no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,34 +36,82 @@ _SLABS = 256
 #: Ranges of hashes for the suffix bound.
 RANGES = 16
 #: Groups of at most so many remaining entities compare all their pairs across components at once.
-FEW = 24
+FEW = 256
+#: About so many entities of a larger group are compared with all others in a round.
+LEADERS = 16
 #: Sets wanted for verification are picked by broadcast up to this number (16 bytes each), else by shuffle.
 BROADCAST_SETS = 500_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: An odd number, so that it has an inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25)]
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct n-grams of a text as sorted 64-bit hashes; fewer words than n make one n-gram, none make none."""
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # splits at exactly [\x20\x09-\x0D]
-    if not found:
-        return np.empty(0, np.uint64)
-    hashes: dict[bytes, int] = {}
-    digest = xxhash.xxh3_64_intdigest
-    for w in set(found):
-        hashes[w] = digest(w)
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    n = max(1, len(h) - words + 1)
-    size = min(words, len(h))
-    out = np.full(n, np.uint64(size))
-    for k in range(size):
-        x = (h[k : k + n] ^ (h[k : k + n] >> np.uint64(31))) * _MIX[k]
-        out = (out ^ x) * _MIX[5]
+_BLOCK = 1 << 20
+_powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def _power_tables(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, up to a size; kept, and grown when a longer text comes."""
+    if len(_powers[0]) < size:
+        size = max(size, _BLOCK + (1 << 16))
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            table = np.full(size, np.uint64(base))
+            table[0] = 1
+            _powers[i] = np.multiply.accumulate(table)
+    return _powers
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and each word's text."""
+    raw = np.frombuffer(b"\n".join([b"", *texts, b""]).translate(_LOWER), np.uint8)
+    space = _IS_SPACE[raw]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    words = np.empty(len(starts), np.uint64)
+    at, word = 0, 0
+    while at < len(raw):  # in blocks that end at white space, so that the running sums stay small
+        end = at + _BLOCK
+        end = end + int(np.argmax(space[end:])) + 1 if end < len(raw) else len(raw)
+        n = int(np.searchsorted(starts, end))
+        power, inverse = _power_tables(end - at + 1)
+        sums = np.zeros(end - at + 1, np.uint64)
+        np.cumsum((raw[at:end].astype(np.uint64) + np.uint64(1)) * power[: end - at], out=sums[1:])
+        words[word:n] = (sums[ends[word:n] - at] - sums[starts[word:n] - at]) * inverse[starts[word:n] - at]
+        at, word = end, n
+    words ^= words >> np.uint64(32)
+    words *= _MIX[7]
+    words ^= words >> np.uint64(29)
+    first = np.cumsum([1, *(len(x) + 1 for x in texts)])
+    return words, np.searchsorted(first, starts, "right") - 1
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Of each text the distinct n-grams as sorted 64-bit hashes; fewer words than n make one n-gram, none make none.
+
+    Words are hashed over the whole batch at once, from running sums of bytes times powers.
+    """
+    h, of = _words([(x or "").encode("utf-8", "surrogatepass") for x in texts])
+    cuts = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+    grams = _mix([h[k : max(0, len(h) - words + 1) + k] for k in range(words)])
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a >= words:
+            out.append(np.unique(grams[a : b - words + 1]))
+        else:
+            out.append(_mix([h[k : k + 1] for k in range(a, b)]) if b > a else np.empty(0, np.uint64))
+    return out
+
+
+def _mix(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.full(len(columns[0]), np.uint64(len(columns)))
+    for k, x in enumerate(columns):
+        out = (out ^ ((x ^ (x >> np.uint64(31))) * _MIX[k])) * _MIX[5]
         out ^= out >> np.uint64(29)
     out *= _MIX[6]
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return out
 
 
 def signature(grams: np.ndarray) -> bytes:
@@ -78,23 +125,26 @@ def _buckets(grams: np.ndarray) -> np.ndarray:
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-            yield part, [shingles(x.as_py()) for x in part.column(column)]
+            yield part, shingle_sets(part.column(column).to_pylist())
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n, sig of each row; then, at the task's end, the task's counts by n-gram hash in compressed slabs."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     names = ["doc_id", "n", "sig", "slab", "counts"]
+    waiting: list[np.ndarray] = []
     for part, sets in _texts(batches, 1):
         rows = part.num_rows
         yield pa.RecordBatch.from_arrays(
             [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
             names=names,
         )
-        where = _buckets(np.concatenate(sets))
-        if len(where):
-            where, times = np.unique(where, return_counts=True)
-            counts[where] += times.astype(np.uint32)
+        waiting.append(_buckets(np.concatenate(sets)))
+        if sum(map(len, waiting)) >= 1 << 20:
+            counts += np.bincount(np.concatenate(waiting), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            waiting = []
+    if waiting:
+        counts += np.bincount(np.concatenate(waiting), minlength=1 << SKETCH_BITS).astype(np.uint32)
     if counts.any():
         press = zstandard.ZstdCompressor(level=1)
         slabs = [press.compress(_by_byte(x)) for x in counts.reshape(_SLABS, -1)]
@@ -128,31 +178,36 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n // 100) + 1 if n else 0
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def _prefixes(docs: DataFrame, order) -> DataFrame:
-    """sig, n, spread, prefix of every text with an n-gram; the prefix in the common order, rarest first."""
+    """sig, key, n, spread, prefix of every text with an n-gram; the prefix in the common order, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(order.value, np.uint8)
-        for _, sets in _texts(batches, 0):
-            sets = [s for s in sets if len(s)]
-            prefixes = [s[np.lexsort((s, classes[_buckets(s)]))[: prefix_length(len(s))]].view(np.int64) for s in sets]
+        for part, found in _texts(batches, 0):
+            sets = [s for s in found if len(s)]
+            keys = [k for k, s in zip(part.column(1).to_pylist(), found, strict=True) if len(s)]
+            # Ties of frequency are in the order of the hashes: the sets are sorted, and so is the sort stable.
+            prefixes = [s[np.argsort(classes[_buckets(s)], kind="stable")[: prefix_length(len(s))]].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_ranges(s) for s in sets], pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["sig", "n", "spread", "prefix"],
+                [pa.array([signature(s) for s in sets], pa.binary()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_ranges(s) for s in sets], pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["sig", "key", "n", "spread", "prefix"],
             )
 
-    return docs.select("text").mapInArrow(run, "sig binary, n long, spread array<int>, prefix array<long>")
+    return docs.select("text", text_key(F.col("text")).alias("key")).mapInArrow(run, "sig binary, key binary, n long, spread array<int>, prefix array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """sig, grams of every text with an n-gram."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """eid, grams of texts with their entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _texts(batches, 0):
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "grams"])
+        for part, sets in _texts(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["eid", "grams"])
 
-    return docs.select("text").mapInArrow(run, "sig binary, grams array<long>")
+    return texts.select("eid", "text").mapInArrow(run, "eid long, grams array<long>")
 
 
 def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
@@ -176,58 +231,60 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
     groups = ws.table(tokens.join(shared, "token").select("token", "lead", "eid", "n", "pos"), "groups-0")
     ws.drop("tokens")
     labels = entities.sparkSession.createDataFrame([], "node long, label long")
+    groups = groups.withColumns({"small": F.lit(False), "leads": F.col("eid") == F.col("lead"), "label": F.col("eid")})
     links = compared = None
     step = 0
     while True:
-        # groups: the entities that are left of each n-gram, with its first one; those of few pair up at once.
-        lead = groups.where("eid = lead").select("token", F.col("n").alias("m"), F.col("pos").alias("at"))
-        stars = groups.where("eid > lead").join(lead, "token").where(_passes(percent)).select(F.col("lead").alias("a"), F.col("eid").alias("b"))
-        pairs = stars
-        if step:
-            small = groups.where("small").select("token", F.col("eid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other"))
-            within = groups.where("small").join(small, "token").where("eid > a AND label <> other").where(_passes(percent)).select("a", F.col("eid").alias("b"))
-            across = groups.where("NOT small AND eid > lead").join(groups.where("NOT small AND eid = lead").select("token", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other")), "token")
-            pairs = within.unionByName(across.where("label <> other").where(_passes(percent)).select(F.col("lead").alias("a"), F.col("eid").alias("b")))
-        pairs = pairs.distinct()
+        other = [F.col("eid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other")]
+        across = (F.col("label") != F.col("other")) & _passes(percent)
+        within = groups.where("small").join(groups.where("small").select("token", *other), "token").where((F.col("a") < F.col("eid")) & across)
+        stars = groups.where("NOT small").join(groups.where("NOT small AND leads").select("token", *other), "token").where((~F.col("leads") | (F.col("a") < F.col("eid"))) & across)
+        pairs = stars.unionByName(within) if step else stars
+        pairs = pairs.select(F.least("a", "eid").alias("a"), F.greatest("a", "eid").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = ws.table(pairs, f"pairs-{step}")
         found = _verified(docs, entities, pairs, ws, step, percent, broadcast_sets)
         compared = pairs if compared is None else compared.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            labels = connected_components(links, ws, f"components-{step}").select("node", "label")
-        # What is left: without the first entities, groups that still hold several components.
-        left = groups.where("eid > lead" if not step else "eid > lead AND NOT small").select("token", "eid", "n", "pos")
+        if found is not None:
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links, ws, f"components-{step}")
+        # What is left: groups without those that led, where they still hold several components.
+        left = groups.where("NOT small AND NOT leads").select("token", "eid", "n", "pos")
         left = left.join(labels.withColumnRenamed("node", "eid"), "eid", "left").withColumn("label", F.coalesce("label", "eid"))
         left = ws.table(left, f"left-{step}")
         mixed = left.groupBy("token").agg(F.min("eid").alias("lead"), F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = ws.table(mixed.where("low < high").select("token", "lead", (F.col("rows") <= few).alias("small")), f"mixed-{step}")
+        mixed = ws.table(mixed.where("low < high").select("token", "lead", "rows"), f"mixed-{step}")
         if mixed.isEmpty():
             return labels.select(F.col("node").alias("eid"), "label")
-        ws.drop(f"groups-{step}")
         step += 1
-        groups = ws.table(left.join(mixed, "token"), f"groups-{step}")
-        ws.drop(f"left-{step - 1}")
+        # Those that lead next: the first entity, and about LEADERS more by a hash that changes with the round.
+        drawn = F.pmod(F.xxhash64("eid", F.lit(step)), F.greatest(F.col("rows") / LEADERS, F.lit(1)).cast("long")) == 0
+        groups = left.join(mixed, "token").select("token", "eid", "n", "pos", "label", (F.col("rows") <= few).alias("small"), ((F.col("eid") == F.col("lead")) | drawn).alias("leads"))
+        groups = ws.table(groups, f"groups-{step}")
 
 
-def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Workspace, step: int, percent: int, broadcast_sets: int) -> DataFrame:
-    """The pairs a, b whose whole sets reach the threshold."""
+def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Workspace, step: int, percent: int, broadcast_sets: int) -> DataFrame | None:
+    """The pairs a, b whose whole sets reach the threshold; None where there are none."""
     brief = entities.select("eid", "n", "spread")
     left = brief.select(F.col("eid").alias("a"), "n", "spread")
     right = brief.select(F.col("eid").alias("b"), F.col("n").alias("m"), F.col("spread").alias("other"))
     bound = F.aggregate(F.zip_with("spread", "other", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
     likely = pairs.join(left, "a").join(right, "b").where(_enough(bound, F.col("n"), F.col("m"), percent))
     likely = ws.table(likely.select("a", "b", "n", "m"), f"likely-{step}")
+    if likely.isEmpty():
+        return None
     wanted = likely.select(F.col("a").alias("eid")).unionByName(likely.select(F.col("b").alias("eid"))).distinct()
-    wanted = ws.table(wanted.join(entities.select("eid", "sig"), "eid"), f"wanted-{step}")
+    wanted = ws.table(wanted.join(entities.select("eid", "key"), "eid"), f"wanted-{step}")
     pick = F.broadcast(wanted) if wanted.count() <= broadcast_sets else wanted
-    sets = ws.table(_sets(docs).join(pick, "sig").groupBy("eid").agg(F.first("grams").alias("grams")), f"sets-{step}")
+    # Only texts that are wanted reach Python, each once; copies fold inside each task.
+    texts = docs.select("text", text_key(F.col("text")).alias("key")).join(pick, "key").groupBy("eid").agg(F.first("text").alias("text"))
+    sets = ws.table(_sets(texts), f"sets-{step}")
     both = likely.join(sets.select(F.col("eid").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("eid").alias("b"), F.col("grams").alias("y")), "b")
     found = both.where(_enough(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"), percent)).select("a", "b")
     found = ws.table(found, f"links-{step}")
     ws.drop(f"sets-{step}")
-    return found
+    return None if found.isEmpty() else found
 
 
 def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int = FEW) -> DataFrame:
@@ -247,7 +304,7 @@ def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int
         classes[row["slab"]] = np.frombuffer(row["classes"], np.uint8)
     order = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
     rows = survey.where("slab IS NULL").select("doc_id", "n", "sig")
-    entities = _prefixes(docs, order).groupBy("sig").agg(F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
+    entities = _prefixes(docs, order).groupBy("sig").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
     entities = ws.table(entities.withColumn("eid", F.monotonically_increasing_id()), "entities")
     labels = link_entities(docs, entities, ws, percent, few)
     named = entities.select("sig", "eid").join(labels, "eid", "left").select("sig", F.coalesce("label", "eid").alias("label"))
@@ -257,6 +314,23 @@ def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int
     return placed.join(lowest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, ws: Workspace, broadcast_docs: int = BROADCAST_SETS) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the smallest doc_id stays, of rows repeated in full one.
+
+    Rows with a null id can't be named and stay.
+    """
+    found = ws.table(ngram_join(docs, ws), "found")
+    gone = ws.table(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= broadcast_docs:
+        gone = F.broadcast(gone)
+    rows = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = ws.table(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return rows
+    once = rows.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return rows.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir), Workspace(spark, "ngram-join"))
 
