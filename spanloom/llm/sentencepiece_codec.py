@@ -258,8 +258,8 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
     return _rows(encoded, "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, digest: Callable[[bytes], str] | None = None, model_file: str | None = None) -> DataFrame:
-    """Encode, then decode those ids, in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def round_trip(docs: DataFrame, digest: Callable[[bytes], str] | None = None, model_file: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode, then decode those ids, in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, and on demand ids.
 
     Null and empty texts have the begin and end ids alone and decode to an empty text. Null ids and
     repeated rows are encoded like any other; an empty table gives an empty result; columns other than
@@ -272,10 +272,10 @@ def round_trip(docs: DataFrame, digest: Callable[[bytes], str] | None = None, mo
         pieces = codec(model_file)
         for ids, raw in _encoded(batches, model_file):
             decoded = [digest(pieces.decode(np.frombuffer(x, "<u4").tolist()).encode()) for x in raw]
-            columns = [ids, pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([digest(x) for x in raw]), pa.array(decoded)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [ids, pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([digest(x) for x in raw], pa.string()), pa.array(decoded, pa.string()), *[_lists(raw)] * with_ids]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
