@@ -1 +1,5 @@
-"""spanloom plans."""
+"""The query catalogue; importing it registers every module of queries."""
+
+from . import catalogue, edits
+
+__all__ = ["catalogue", "edits"]
