@@ -1,5 +1,5 @@
 """The query catalogue; importing it registers every module of queries."""
 
-from . import catalogue, edits
+from . import catalogue, edits, ledgers
 
-__all__ = ["catalogue", "edits"]
+__all__ = ["catalogue", "edits", "ledgers"]
