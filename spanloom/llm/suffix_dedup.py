@@ -14,6 +14,7 @@ their first 100 bytes stand side by side in the end; the earliest keeps the stri
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ FILTER_BITS = 28
 _SLABS = 256
 #: Strings of one collection; an anchor's strings stay together.
 COLLECTION = 12_000
+#: Strings that an anchor may bring to one collection; a hotter anchor's are grouped one 100-byte string at a time.
+HOT = 100_000
 #: Bytes of a block, and bytes from which a transform is kept in a file.
 BLOCK, IN_MEMORY = 1 << 24, 1 << 25
 #: Documents to change are picked by broadcast up to this number (8 bytes each), else by shuffle.
@@ -383,9 +386,26 @@ def _occurrences(docs: DataFrame, ws: Workspace) -> DataFrame:
     return ws.table(docs.mapInArrow(run, "ah long, ch long, doc long, at int, n int, w int"), "occurrences")
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, ws: Workspace, broadcast_docs: int) -> DataFrame:
+def _by_string(contexts: DataFrame, ws: Workspace) -> DataFrame:
+    """doc, begin, end of later strings, for anchors with too many strings for one task: grouped by 128-bit hash, folded in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, doc, at, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(context) - LENGTH + 1
+                hashes = [hashlib.blake2b(context[i : i + LENGTH], digest_size=16).digest() for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(hashes, pa.binary())], names=["doc", "at", "h"])
+
+    strings = ws.table(contexts.mapInArrow(run, "doc long, at long, h binary"), "strings")
+    first = strings.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc", "at")).alias("lead")).where("rows > 1")
+    first = ws.table(first.select("h", F.col("lead.doc").alias("doc0"), F.col("lead.at").alias("at0")), "first-strings")
+    later = strings.join(first, "h").where("doc <> doc0 OR at <> at0")
+    return later.select("doc", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end"))
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame, ws: Workspace, broadcast_docs: int, name: str = "wants") -> DataFrame:
     """ah, doc, at, context of the wanted groups of strings, cut from the texts."""
-    lists = ws.table(wanted.groupBy("doc").agg(F.collect_list(F.struct("ah", "ch", "at", "n", "w")).alias("wants")), "wants")
+    lists = ws.table(wanted.groupBy("doc").agg(F.collect_list(F.struct("ah", "ch", "at", "n", "w")).alias("wants")), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,8 +442,12 @@ def repeated_ranges(docs: DataFrame, ws: Workspace, broadcast_docs: int = BROADC
     # All but the first occurrence of a class repeat whole. Both sides come straight from tables, so that a hot class can be split.
     copied = classes.where("rows > 1").select("ah", "ch", F.col("doc").alias("doc0"), F.col("at").alias("at0"))
     later = found.join(copied, ["ah", "ch"]).where("doc <> doc0 OR at <> at0").select("doc", F.col("at").cast("long").alias("begin"), (F.col("at") + F.col("n") + LENGTH - 1).cast("long").alias("end"))
-    several = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("ah")
-    wanted = ws.table(classes.join(ws.table(several, "several"), "ah", "left_semi").select("ah", "ch", "doc", "at", "n", "w"), "wanted")
+    several = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("ah", (F.col("classes") > HOT).alias("hot"))
+    wanted = ws.table(classes.join(ws.table(several, "several"), "ah").select("ah", "ch", "doc", "at", "n", "w", "hot"), "wanted")
+    hot = wanted.where("hot")
+    if not hot.isEmpty():
+        later = later.unionByName(_by_string(_contexts(docs, hot, ws, broadcast_docs, "hot-wants"), ws))
+    wanted = wanted.where("NOT hot")
     folder = ws.path("scratch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

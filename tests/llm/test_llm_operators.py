@@ -234,8 +234,9 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_suffix_dedup(spark, limit):
+@pytest.mark.parametrize(("limit", "hot"), [(0, 100_000), (1000, 2)])
+def test_suffix_dedup(spark, monkeypatch, limit, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rnd = random.Random(7)
     page = lambda n: " ".join("".join(rnd.choice("abcdé") for _ in range(rnd.randrange(1, 9))) for _ in range(n))
     shared = [page(30) for _ in range(4)]
@@ -314,9 +315,10 @@ def test_ngram_join_of_nothing(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
-    found = {r["node"]: r["label"] for r in connected_components(edges, Workspace(spark, "t")).collect()}
+    found = {r["node"]: r["label"] for r in connected_components(edges, Workspace(spark, "t"), small=small).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
