@@ -49,7 +49,7 @@ def _features(text: Column) -> Column:
     """Lower-case words without what is not a letter, and, after ^, the tokens' shapes: a for letters, 0 for digits."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
     shapes = F.split(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\p{L}\p{M}]+", "a"), r"\p{N}+", "0"), _BLANK, " ^")), " ")
-    return F.concat(words, F.array_distinct(shapes))
+    return F.array_distinct(F.concat(words, shapes))
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspace) -> DataFrame:
@@ -64,7 +64,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspace)
     count = lambda: [F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(domains)]
     sizes = [float(x or 0) for x in known.agg(*count()).first()]
     total = sum(sizes)
-    seen = known.select("domain", F.explode(F.array_distinct(_features(F.col("text")))).alias("feature")).where("feature <> ''")
+    seen = known.select("domain", F.explode_outer(_features(F.col("text"))).alias("feature")).where("feature <> ''")
     table = seen.groupBy("feature").agg(*count()).withColumn("n", reduce(lambda a, b: a + b, [F.col(f"n_{i}") for i in range(len(domains))]))
     # G: how far the domains' shares of a feature's documents are from the domains' sizes, absences included.
     terms = []
@@ -90,10 +90,14 @@ def posteriors(docs: DataFrame, weights: DataFrame, domains: list[str]) -> DataF
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("rid"))
     tokens = F.size(F.filter(F.split("text", _BLANK), lambda x: x != ""))
-    # The empty feature carries the priors and keeps documents without a known feature.
-    pieces = rows.select("rid", "doc_id", F.unhex(F.md5("text")).alias("k"), tokens.cast("long").alias("n_tokens"), F.explode(F.array_append(_features(F.col("text")), F.lit(""))).alias("feature"))
-    # At most FEATURES + 1 rows are broadcast. What a document has of them is counted once inside the task.
-    hits = pieces.join(F.broadcast(weights), "feature").groupBy("rid", "doc_id", "k", "n_tokens", "feature").agg(*[F.first(f"w_{i}").alias(f"w_{i}") for i in range(len(domains))])
+    # The empty feature carries the priors and keeps documents without a known feature. What a document has
+    # once is computed before its features are listed, not for each of them.
+    features = F.array_append(F.array_remove(_features(F.col("text")), ""), F.lit(""))
+    once = rows.select("rid", "doc_id", F.unhex(F.md5("text")).alias("k"), tokens.cast("long").alias("n_tokens"), features.alias("features"))
+    # The list is never empty; an outer explode spares a filter that would make it twice.
+    pieces = once.select("rid", "doc_id", "k", "n_tokens", F.explode_outer("features").alias("feature"))
+    # At most FEATURES + 1 rows are broadcast. Each document becomes one row before the shuffle.
+    hits = pieces.join(F.broadcast(weights), "feature")
     sums = hits.groupBy("rid", "doc_id", "k", "n_tokens").agg(*[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(len(domains))])
     top = F.greatest(*[F.col(f"s_{i}") for i in range(len(domains))])
     parts = [F.exp(F.col(f"s_{i}") - top) for i in range(len(domains))]
