@@ -30,9 +30,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn at the fitted rates; rows with no copy go, rows with several are repeated."""
+    """Documents are drawn at the fitted rates, none more than once, as copies have just been removed; the others go."""
     labels = soft_mixing.domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return soft_mixing.mix(docs, labels, Workspace(spark, "pipeline-mixing"))
+    return soft_mixing.mix(docs, labels, Workspace(spark, "pipeline-mixing"), max_rate=1.0)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

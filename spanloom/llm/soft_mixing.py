@@ -2,7 +2,7 @@
 
 A naive Bayes classifier on the presence and absence of words and word shapes is fitted to a labelled table and gives
 every document a probability for each domain. With n_i the tokens of document i and p_id its probability
-of domain d, rates r_i >= 0 are fitted so that the sums of n_i r_i p_id come as near the target totals as
+of domain d, rates 0 <= r_i <= MAX_RATE are fitted so that the sums of n_i r_i p_id come as near the target totals as
 they can, in least squares. Only built-in DataFrame functions touch rows.
 
 The gradient steps start from rate 1. Residuals are weighted by the inverse of the domains' Gram matrix
@@ -32,6 +32,8 @@ FEATURES = 2_000
 MIN_FREQUENCY = 4
 MIN_G = 20.0
 STEPS = 30
+#: No document is drawn more often than this on average, however rare its domain is: rates stay in [0, MAX_RATE].
+MAX_RATE = 4.0
 #: Rates this near a whole number count as that number when documents are drawn.
 SNAP = 0.05
 
@@ -104,10 +106,10 @@ def posteriors(docs: DataFrame, weights: DataFrame, domains: list[str]) -> DataF
     return sums.select("doc_id", "k", "n_tokens", *[(p / reduce(lambda a, b: a + b, parts)).alias(f"p_{i}") for i, p in enumerate(parts)])
 
 
-def fit_rates(table: DataFrame, shares: list[float], ws: Workspace, steps: int = STEPS, tolerance: float = 1e-4) -> DataFrame:
+def fit_rates(table: DataFrame, shares: list[float], ws: Workspace, steps: int = STEPS, tolerance: float = 1e-4, max_rate: float = MAX_RATE) -> DataFrame:
     """The table with a column rate; shares are the domains' target shares, the first domain's total stays as it is."""
     size = range(len(shares))
-    moved = lambda r, c: F.greatest(F.lit(0.0), r + reduce(lambda a, b: a + b, [F.col(f"p_{i}") * float(c[i]) for i in size]))
+    moved = lambda r, c: F.least(F.lit(max_rate), F.greatest(F.lit(0.0), r + reduce(lambda a, b: a + b, [F.col(f"p_{i}") * float(c[i]) for i in size])))
     first = table.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{i}") * F.col(f"p_{j}")).alias(f"g_{i}_{j}") for i in size for j in size], *[F.sum(F.col("n_tokens") * F.col(f"p_{i}")).alias(f"t_{i}") for i in size]).first()
     if not any(first[f"t_{i}"] for i in size):
         return table.withColumn("rate", F.lit(1.0))
@@ -142,7 +144,7 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + chance).cast("long")
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ws: Workspace) -> DataFrame:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ws: Workspace, max_rate: float = MAX_RATE) -> DataFrame:
     """One row per input row: doc_id, k, n_tokens, p_<domain> ..., rate, copies.
 
     Tokens are runs of anything but ASCII white space. A null or empty text has none; its posterior is the
@@ -152,13 +154,13 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """
     docs, domains = docs.select("doc_id", "text"), list(targets)
     table = ws.table(posteriors(docs, fit(docs, labelled, domains, ws), domains), "posteriors")
-    table = fit_rates(table, [targets[d] for d in domains], ws)
+    table = fit_rates(table, [targets[d] for d in domains], ws, max_rate=max_rate)
     return table.select("doc_id", "k", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, ws: Workspace, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, ws: Workspace, targets: dict[str, float] | None = None, max_rate: float = MAX_RATE) -> DataFrame:
     """The documents as drawn: rows with no copy go, rows with several are repeated; the columns stay."""
-    rated = ws.table(mixing_rates(docs, labelled, targets or TARGETS, ws).select(F.col("doc_id").alias("rated_id"), "k", "copies").distinct(), "drawn")
+    rated = ws.table(mixing_rates(docs, labelled, targets or TARGETS, ws, max_rate).select(F.col("doc_id").alias("rated_id"), "k", "copies").distinct(), "drawn")
     key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
     drawn = docs.join(rated, docs["doc_id"].eqNullSafe(rated["rated_id"]) & (key == rated["k"])).where("copies > 0")
     return drawn.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")

@@ -401,12 +401,12 @@ def test_rates_meet_targets(spark):
     n = rnd.integers(0, 500, 400)
     made = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(400)], "doc_id long, n_tokens long, p_0 double, p_1 double, p_2 double")
     shares = [0.6, 0.3, 0.1]
-    out = soft_mixing.fit_rates(made, shares, Workspace(spark, "t"), steps=60, tolerance=1e-7).toPandas()
+    out = soft_mixing.fit_rates(made, shares, Workspace(spark, "t"), steps=60, tolerance=1e-7, max_rate=3.0).toPandas()
     # The same descent in numpy.
     r, totals = np.ones(400), (n[:, None] * p).sum(0)
     weight, target = np.linalg.inv((n[:, None] * p).T @ p), np.array(shares) * totals[0] / shares[0]
     for _ in range(60):
-        r = np.maximum(0, r + p @ (weight @ (target - (n * r) @ p)))
+        r = np.clip(r + p @ (weight @ (target - (n * r) @ p)), 0, 3)
     assert (out["rate"] >= 0).all() and np.abs(out.sort_values("doc_id")["rate"].to_numpy() - r).max() < 1e-3
     got = [(out.n_tokens * out.rate * out[f"p_{i}"]).sum() for i in range(3)]
     assert np.allclose(got, target, rtol=1e-3)
