@@ -227,9 +227,20 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
     tokens = entities.select("eid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     tokens = ws.table(tokens.select("token", "eid", "n", "pos"), "tokens")
     # An n-gram of one entity links nothing: partial minima and maxima fold a hot one inside each task.
-    shared = ws.table(tokens.groupBy("token").agg(F.min("eid").alias("lead"), F.max("eid").alias("last")).where("lead < last").select("token", "lead"), "shared")
-    groups = ws.table(tokens.join(shared, "token").select("token", "lead", "eid", "n", "pos"), "groups-0")
+    shared = ws.table(tokens.groupBy("token").agg(F.min("eid").alias("low"), F.max("eid").alias("high")).where("low < high").select("token"), "shared")
+    hits = ws.table(tokens.join(shared, "token").select("token", "eid", "n", "pos"), "hits")
     ws.drop("tokens")
+    # New numbers, by how many prefix n-grams an entity has for itself: the least altered copies come first
+    # and lead, as most others are near to them.
+    own = hits.groupBy("eid").agg(F.count(F.lit(1)).alias("hits")).join(entities.select("eid", "key", "n", "spread", F.size("prefix").alias("size")), "eid")
+    number = F.shiftleft(F.least(F.col("size") - F.col("hits"), F.lit(1023)).cast("long"), 53).bitwiseOR(F.col("eid"))
+    numbered = ws.table(own.select(F.col("eid").alias("was"), number.alias("eid"), "key", "n", "spread"), "numbered")
+    groups = hits.withColumnRenamed("eid", "was").join(numbered.select("was", "eid"), "was").select("token", "eid", "n", "pos")
+    groups = ws.table(groups, "grouped")
+    leads = ws.table(groups.groupBy("token").agg(F.min("eid").alias("lead")), "leads")
+    groups = ws.table(groups.join(leads, "token").select("token", "lead", "eid", "n", "pos"), "groups-0")
+    ws.drop("hits")
+    entities = numbered.select("eid", "key", "n", "spread")
     labels = entities.sparkSession.createDataFrame([], "node long, label long")
     groups = groups.withColumns({"small": F.lit(False), "leads": F.col("eid") == F.col("lead"), "label": F.col("eid")})
     links = compared = None
@@ -253,14 +264,18 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
         left = groups.where("NOT small AND NOT leads").select("token", "eid", "n", "pos")
         left = left.join(labels.withColumnRenamed("node", "eid"), "eid", "left").withColumn("label", F.coalesce("label", "eid"))
         left = ws.table(left, f"left-{step}")
-        mixed = left.groupBy("token").agg(F.min("eid").alias("lead"), F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = ws.table(mixed.where("low < high").select("token", "lead", "rows"), f"mixed-{step}")
+        parts = left.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.min("eid").alias("lead"))
+        sums = [F.min("lead").alias("lead"), F.sum("n").alias("rows"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")]
+        mixed = parts.groupBy("token").agg(*sums).where("labels > 1")
+        mixed = ws.table(mixed.select("token", "lead", "rows", F.col("most.label").alias("major"), (F.col("rows") - F.col("most.n")).alias("others")), f"mixed-{step}")
         if mixed.isEmpty():
-            return labels.select(F.col("node").alias("eid"), "label")
+            return numbered.join(labels, numbered["eid"] == labels["node"]).select(F.col("was").alias("eid"), "label")
         step += 1
-        # Those that lead next: the first entity, and about LEADERS more by a hash that changes with the round.
-        drawn = F.pmod(F.xxhash64("eid", F.lit(step)), F.greatest(F.col("rows") / LEADERS, F.lit(1)).cast("long")) == 0
-        groups = left.join(mixed, "token").select("token", "eid", "n", "pos", "label", (F.col("rows") <= few).alias("small"), ((F.col("eid") == F.col("lead")) | drawn).alias("leads"))
+        # Those that lead next: all outside the group's largest component where they are few, so that the
+        # group is done; else the first entity, and about LEADERS more by a hash that changes with the round.
+        drawn = (F.col("eid") == F.col("lead")) | (F.pmod(F.xxhash64("eid", F.lit(step)), F.greatest(F.col("rows") / LEADERS, F.lit(1)).cast("long")) == 0)
+        leads = F.when(F.col("others") <= 2 * LEADERS, F.col("label") != F.col("major")).otherwise(drawn)
+        groups = left.join(mixed, "token").select("token", "eid", "n", "pos", "label", (F.col("rows") <= few).alias("small"), leads.alias("leads"))
         groups = ws.table(groups, f"groups-{step}")
 
 
@@ -307,7 +322,7 @@ def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int
     entities = _prefixes(docs, order).groupBy("sig").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
     entities = ws.table(entities.withColumn("eid", F.monotonically_increasing_id()), "entities")
     labels = link_entities(docs, entities, ws, percent, few)
-    named = entities.select("sig", "eid").join(labels, "eid", "left").select("sig", F.coalesce("label", "eid").alias("label"))
+    named = entities.select("sig", "eid").join(labels, "eid", "left").select("sig", F.coalesce("label", -F.col("eid") - 1).alias("label"))  # alone: a number of its own
     # Both sides come straight from tables, so that adaptive execution may split a hot set or component.
     placed = ws.table(rows.join(ws.table(named, "named"), "sig", "left"), "placed")
     lowest = ws.table(placed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("low")), "lowest")
