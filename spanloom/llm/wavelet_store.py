@@ -16,6 +16,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -39,7 +40,7 @@ BLOCK = 1 << 18
 #: A shard is closed at this many ids; a document stays whole.
 SHARD_TOKENS = 2_000_000
 #: Pieces of text that a worker remembers with their ids; the table starts anew beyond them.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
 
 MAGIC = b"SPWM\x01\x00\x00\x00"
@@ -47,6 +48,8 @@ _HEAD = struct.Struct("<8sIIQQQ")
 
 #: White space, a space, white space: there a run of white space may be one pre-token.
 _INNER_SPACE = re.compile(r"\s \s")
+#: Letters after at most one space, then marks.
+_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -58,47 +61,73 @@ class WordCache:
 
     The tokenizer cuts a text before it merges, and always cuts before a space that does not stand inside
     a longer run of white space. Pieces between such spaces are therefore encoded on their own, and each
-    distinct piece only once while it is remembered. Texts with longer runs go to the tokenizer whole.
+    distinct piece only once while it is remembered. Texts with longer runs go to the tokenizer whole. It
+    also cuts around a line feed between other characters, and between letters and a mark: pieces made of
+    such parts alone go part by part to the tokenizer's merges, all others through its every step.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError(f"ids do not fit in {BITS} bits")
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def _raw(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.merges = self.tokenizer.model.tokenize
+        # The characters that stand for bytes, as the tokenizer itself shows them; each part here is a character below U+0250.
+        one = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {i: one.pre_tokenize_str(chr(i))[0][0] for i in range(0x250)}
+        self.feed = self._whole("\n")
+        self.known = _Pieces(self)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """The ids of letters with at most one space before them, or of marks."""
+        if (found := self.known.get(part)) is None:
+            shown = part.replace(" ", self.shown[32]) if part.isascii() else part.translate(self.shown)
+            found = self.known[part] = array("H", [t.id for t in self.merges(shown)]).tobytes()
+        return found
+
+    def piece(self, piece: str) -> bytes:
+        if (simple := _SIMPLE(piece)) is not None:
+            word, marks = simple.groups()
+            return self._part(word) + self._part(marks) if marks else self._part(word)
+        lines = [_SIMPLE(x) for x in piece.split("\n")]
+        if not all(lines):
+            return self._whole(piece)
+        return self.feed.join([self._part(x[1]) + self._part(x[2]) if x[2] else self._part(x[1]) for x in lines])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        fresh: set[str] = set()
         if len(self.known) >= REMEMBERED:
-            self.known = {}
-        known = self.known
-        for i, text in enumerate(texts):
+            self.known.clear()
+        out, ids = [], self.known.__getitem__
+        for text in texts:
             if _INNER_SPACE.search(text):
-                out[i] = self._raw([text])[0]
+                out.append(self._whole(text))
                 continue
             head, *rest = text.split(" ")
-            pieces = [head] * bool(head) + [" " + x for x in rest]
-            cut.append((i, pieces))
-            fresh.update(x for x in pieces if x not in known)
-        missing = list(fresh)
-        found = dict(zip(missing, self._raw(missing), strict=True))
-        once = {x: found.pop(x) for x in missing if len(x) > LONGEST_REMEMBERED}
-        known |= found
-        for i, pieces in cut:
-            out[i] = b"".join([known[x] if x in known else once[x] for x in pieces])
+            out.append(b"".join(map(ids, [head] * bool(head) + [" " + x for x in rest])))
         return out
 
 
+class _Pieces(dict):
+    """Pieces with their ids; a piece that is missing is encoded, and remembered unless it is long."""
+
+    def __init__(self, words: WordCache):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.words.piece(piece)
+        if len(piece) <= LONGEST_REMEMBERED:
+            self[piece] = found
+        return found
+
+
 @cache
 def word_cache(path: str) -> WordCache:
     return WordCache(path)
