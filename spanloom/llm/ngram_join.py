@@ -182,7 +182,7 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _prefixes(docs: DataFrame, order) -> DataFrame:
+def _prefixes(docs: DataFrame, order, percent: int = PERCENT) -> DataFrame:
     """sig, key, n, spread, prefix of every text with an n-gram; the prefix in the common order, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
             sets = [s for s in found if len(s)]
             keys = [k for k, s in zip(part.column(1).to_pylist(), found, strict=True) if len(s)]
             # Ties of frequency are in the order of the hashes: the sets are sorted, and so is the sort stable.
-            prefixes = [s[np.argsort(classes[_buckets(s)], kind="stable")[: prefix_length(len(s))]].view(np.int64) for s in sets]
+            prefixes = [s[np.argsort(classes[_buckets(s)], kind="stable")[: prefix_length(len(s), percent)]].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([signature(s) for s in sets], pa.binary()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_ranges(s) for s in sets], pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))],
                 names=["sig", "key", "n", "spread", "prefix"],
@@ -319,7 +319,7 @@ def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int
         classes[row["slab"]] = np.frombuffer(row["classes"], np.uint8)
     order = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
     rows = survey.where("slab IS NULL").select("doc_id", "n", "sig")
-    entities = _prefixes(docs, order).groupBy("sig").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
+    entities = _prefixes(docs, order, percent).groupBy("sig").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
     entities = ws.table(entities.withColumn("eid", F.monotonically_increasing_id()), "entities")
     labels = link_entities(docs, entities, ws, percent, few)
     named = entities.select("sig", "eid").join(labels, "eid", "left").select("sig", F.coalesce("label", -F.col("eid") - 1).alias("label"))  # alone: a number of its own

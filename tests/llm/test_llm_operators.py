@@ -309,6 +309,27 @@ def test_ngram_join(spark, few):
     assert rows(found, "doc_id", "n_shingles", "component_id") == sorted(near(docs), key=str)
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_ngram_join_at_other_thresholds(spark, percent):
+    # What the texts share are their most frequent n-grams, so a prefix that is cut for 85 % misses links.
+    frequent = [f"w{i}" for i in range(103 if percent == 80 else 63)]
+    fresh = iter(range(10_000))
+    own = lambda n: [f"x{next(fresh)}" for _ in range(n)]
+    docs = []
+    for i in range(20):
+        docs.append((i, " ".join(frequent + own(i))))
+    for i in range(20, 60):
+        w = list(frequent)
+        w[0] = f"x{next(fresh)}"
+        w[-1] = f"x{next(fresh)}"
+        docs.append((i, " ".join(w + own(i % 30))))
+    for i in range(0, 40, 2):
+        base = own(200)
+        docs += [(100 + i, " ".join(base)), (101 + i, " ".join(base[: 196 - i] + own(4)))]
+    found = ngram_join.ngram_join(table(spark, docs), Workspace(spark, "t"), percent=percent)
+    assert rows(found, "doc_id", "n_shingles", "component_id") == sorted(near(docs, percent), key=str)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_join(empty(spark), Workspace(spark, "t")).count() == 0
     kept = ngram_join.keep_one(table(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, None), (3, None), (4, "z")]), Workspace(spark, "t"))
