@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from spanloom.llm import line_spread, ngram_join, quality_rules, sentencepiece_codec, soft_mixing
 from spanloom.llm.workspace import Workspace, documents
 
+#: Near duplicates of the pipeline; op10 has its own setting.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or whose posterior quality is under one half go."""
@@ -25,8 +28,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return ngram_join.keep_one(docs, Workspace(spark, "pipeline-ngrams"))
+    """One document of each group of near duplicates stays: word shingles of five, Jaccard similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs, Workspace(spark, "pipeline-ngrams"), words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,18 +122,18 @@ def _buckets(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _texts(batches: Iterator[pa.RecordBatch], column: int, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-            yield part, shingle_sets(part.column(column).to_pylist())
+            yield part, shingle_sets(part.column(column).to_pylist(), words)
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _survey(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """doc_id, n, sig of each row; then, at the task's end, the task's counts by n-gram hash in compressed slabs."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     names = ["doc_id", "n", "sig", "slab", "counts"]
     waiting: list[np.ndarray] = []
-    for part, sets in _texts(batches, 1):
+    for part, sets in _texts(batches, 1, words):
         rows = part.num_rows
         yield pa.RecordBatch.from_arrays(
             [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
@@ -182,12 +182,12 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _prefixes(docs: DataFrame, order, percent: int = PERCENT) -> DataFrame:
+def _prefixes(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
     """sig, key, n, spread, prefix of every text with an n-gram; the prefix in the common order, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(order.value, np.uint8)
-        for part, found in _texts(batches, 0):
+        for part, found in _texts(batches, 0, words):
             sets = [s for s in found if len(s)]
             keys = [k for k, s in zip(part.column(1).to_pylist(), found, strict=True) if len(s)]
             # Ties of frequency are in the order of the hashes: the sets are sorted, and so is the sort stable.
@@ -200,11 +200,11 @@ def _prefixes(docs: DataFrame, order, percent: int = PERCENT) -> DataFrame:
     return docs.select("text", text_key(F.col("text")).alias("key")).mapInArrow(run, "sig binary, key binary, n long, spread array<int>, prefix array<long>")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, words: int) -> DataFrame:
     """eid, grams of texts with their entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _texts(batches, 1):
+        for part, sets in _texts(batches, 1, words):
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["eid", "grams"])
 
     return texts.select("eid", "text").mapInArrow(run, "eid long, grams array<long>")
@@ -222,7 +222,7 @@ def _passes(percent: int) -> Column:
     return length & _enough(F.least(n - i, m - j), n, m, percent)
 
 
-def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent: int = PERCENT, few: int = FEW, broadcast_sets: int = BROADCAST_SETS) -> DataFrame:
+def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent: int = PERCENT, few: int = FEW, broadcast_sets: int = BROADCAST_SETS, words: int = WORDS) -> DataFrame:
     """eid, label of the entities with a link; entities: eid, sig, n, spread, prefix."""
     tokens = entities.select("eid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     tokens = ws.table(tokens.select("token", "eid", "n", "pos"), "tokens")
@@ -255,7 +255,7 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = ws.table(pairs, f"pairs-{step}")
-        found = _verified(docs, entities, pairs, ws, step, percent, broadcast_sets)
+        found = _verified(docs, entities, pairs, ws, step, percent, broadcast_sets, words)
         compared = pairs if compared is None else compared.unionByName(pairs)
         if found is not None:
             links = found if links is None else links.unionByName(found)
@@ -279,7 +279,7 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
         groups = ws.table(groups, f"groups-{step}")
 
 
-def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Workspace, step: int, percent: int, broadcast_sets: int) -> DataFrame | None:
+def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Workspace, step: int, percent: int, broadcast_sets: int, words: int) -> DataFrame | None:
     """The pairs a, b whose whole sets reach the threshold; None where there are none."""
     brief = entities.select("eid", "n", "spread")
     left = brief.select(F.col("eid").alias("a"), "n", "spread")
@@ -294,7 +294,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Worksp
     pick = F.broadcast(wanted) if wanted.count() <= broadcast_sets else wanted
     # Only texts that are wanted reach Python, each once; copies fold inside each task.
     texts = docs.select("text", text_key(F.col("text")).alias("key")).join(pick, "key").groupBy("eid").agg(F.first("text").alias("text"))
-    sets = ws.table(_sets(texts), f"sets-{step}")
+    sets = ws.table(_sets(texts, words), f"sets-{step}")
     both = likely.join(sets.select(F.col("eid").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("eid").alias("b"), F.col("grams").alias("y")), "b")
     found = both.where(_enough(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"), percent)).select("a", "b")
     found = ws.table(found, f"links-{step}")
@@ -302,7 +302,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Worksp
     return None if found.isEmpty() else found
 
 
-def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int = FEW) -> DataFrame:
+def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int = FEW, words: int = WORDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. Null and empty texts have no
@@ -311,7 +311,7 @@ def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int
     and text are ignored.
     """
     docs = docs.select("doc_id", "text")
-    survey = ws.table(docs.mapInArrow(_survey, "doc_id long, n long, sig binary, slab int, counts binary"), "survey")
+    survey = ws.table(docs.mapInArrow(lambda batches: _survey(batches, words), "doc_id long, n long, sig binary, slab int, counts binary"), "survey")
     slabs = survey.where("slab IS NOT NULL").select("slab", "counts").repartition("slab").mapInArrow(_add_slabs, "slab int, classes binary")
     # Fixed in size: one byte a counter.
     classes = np.zeros((_SLABS, (1 << SKETCH_BITS) // _SLABS), np.uint8)
@@ -319,9 +319,9 @@ def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int
         classes[row["slab"]] = np.frombuffer(row["classes"], np.uint8)
     order = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
     rows = survey.where("slab IS NULL").select("doc_id", "n", "sig")
-    entities = _prefixes(docs, order, percent).groupBy("sig").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
+    entities = _prefixes(docs, order, words, percent).groupBy("sig").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
     entities = ws.table(entities.withColumn("eid", F.monotonically_increasing_id()), "entities")
-    labels = link_entities(docs, entities, ws, percent, few)
+    labels = link_entities(docs, entities, ws, percent, few, words=words)
     named = entities.select("sig", "eid").join(labels, "eid", "left").select("sig", F.coalesce("label", -F.col("eid") - 1).alias("label"))  # alone: a number of its own
     # Both sides come straight from tables, so that adaptive execution may split a hot set or component.
     placed = ws.table(rows.join(ws.table(named, "named"), "sig", "left"), "placed")
@@ -329,12 +329,12 @@ def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int
     return placed.join(lowest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, ws: Workspace, broadcast_docs: int = BROADCAST_SETS) -> DataFrame:
+def keep_one(docs: DataFrame, ws: Workspace, broadcast_docs: int = BROADCAST_SETS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the smallest doc_id stays, of rows repeated in full one.
 
     Rows with a null id can't be named and stay.
     """
-    found = ws.table(ngram_join(docs, ws), "found")
+    found = ws.table(ngram_join(docs, ws, percent, words=words), "found")
     gone = ws.table(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     if gone.count() <= broadcast_docs:
         gone = F.broadcast(gone)

@@ -52,3 +52,20 @@ def test_mixing_and_tokens(spark, steps):
     assert clean.join(after, "doc_id", "left_anti").count() == 0
     before, after = steps[4]
     assert before.count() == after.count() and after.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_near_duplicates_on_five_words(spark):
+    from tests.llm.test_llm_operators import words
+
+    own = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    spaced = own("s", 240)
+    for i in range(47, 240, 48):
+        spaced[i] = f"new{i}"
+    # A copy with 45 words appended, one with a word changed every 48, and one that is too far.
+    texts = [own("a", 200), own("a", 200) + own("b", 45), own("s", 240), spaced, own("c", 200), own("c", 200) + own("d", 60)]
+    docs = [(i, " ".join(w), "en", "src1", len(" ".join(w))) for i, w in enumerate(texts)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words(text) for _, text, *_ in docs)]
+    wanted = [j for j in range(len(docs)) if not any(10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for i in range(j))]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates_stage(spark, table, DATA)
+    assert sorted(r["doc_id"] for r in kept.collect()) == wanted == [0, 2, 4, 5]
