@@ -34,8 +34,8 @@ MIN_G = 20.0
 STEPS = 30
 #: No document is drawn more often than this on average, however rare its domain is: rates stay in [0, MAX_RATE].
 MAX_RATE = 4.0
-#: Rates this near a whole number count as that number when documents are drawn.
-SNAP = 0.05
+#: Rates this near a whole number count as that number when documents are drawn: no more than rounding errors.
+SNAP = 1e-6
 
 _BLANK = r"[\x20\x09-\x0D]+"
 

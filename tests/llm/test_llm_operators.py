@@ -433,6 +433,20 @@ def test_rates_meet_targets(spark):
     assert np.allclose(got, target, rtol=1e-3)
 
 
+def test_draws_meet_targets(spark):
+    # A third of the tokens is of a domain that should have 1.5 %: its rate is far under one in twenty.
+    p = [[0.998, 0.001, 0.001], [0.001, 0.998, 0.001], [0.001, 0.001, 0.998]]
+    kind = F.when(F.col("id") % 100 < 64, 0).when(F.col("id") % 100 < 98, 1).otherwise(2)
+    made = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(100).cast("long").alias("n_tokens"), *[F.array(*[F.lit(x[i]) for x in p])[kind].alias(f"p_{i}") for i in range(3)])
+    rated = soft_mixing.fit_rates(made, [0.985, 0.015, 0.0], Workspace(spark, "t"), steps=60)
+    out = rated.select("*", soft_mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies")).toPandas()
+    low = out[out.p_1 > 0.5]
+    assert 0 < low.rate.max() < 0.05
+    fitted, drawn = ([(out.n_tokens * out[c] * out[f"p_{i}"]).sum() for i in range(3)] for c in ("rate", "copies"))
+    assert abs(fitted[1] / sum(fitted) - 0.015) < 0.0005
+    assert np.allclose(drawn[:2], fitted[:2], rtol=0.1) and abs(drawn[1] / sum(drawn) - 0.015) < 0.0015
+
+
 def test_mixing_cases(spark, duck):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (9, 0, 1), (9, 1, None), (None, 1, 1), (10, None, None)], "doc_id long, quality int, toxic int")
     domains = soft_mixing.domains_of(labels)
