@@ -2,8 +2,9 @@
 
 A naive Bayes classifier on the presence and absence of words and word shapes is fitted to a labelled table and gives
 every document a probability for each domain. With n_i the tokens of document i and p_id its probability
-of domain d, rates 0 <= r_i <= MAX_RATE are fitted so that the sums of n_i r_i p_id come as near the target totals as
-they can, in least squares. Only built-in DataFrame functions touch rows.
+of domain d, rates r_i >= 0 are fitted so that the sums of n_i r_i p_id come as near the target totals as
+they can, in least squares. A domain that no document most likely belongs to can't be drawn at any rate: it
+is left out of the fit, and the others keep their targets. ``attained`` tells totals next to targets. Only built-in DataFrame functions touch rows.
 
 The gradient steps start from rate 1. Residuals are weighted by the inverse of the domains' Gram matrix
 (sums of n_i p_ic p_id) and rates are measured in tokens; in that geometry a full step is never too long,
@@ -23,7 +24,7 @@ from .workspace import Workspace, documents
 
 QUERY = "op1_soft_mixing"
 
-#: Domains with their target shares of tokens. The first is the anchor: its total stays as it is.
+#: Domains with their target shares of tokens. The first one there is the anchor: its total stays as it is.
 TARGETS = {"clean": 0.985, "low": 0.015, "toxic": 0.0}
 #: The classifier is fitted to at most so many labelled documents, those with the smallest id hashes.
 LABELLED = 20_000
@@ -32,8 +33,6 @@ FEATURES = 2_000
 MIN_FREQUENCY = 4
 MIN_G = 20.0
 STEPS = 30
-#: No document is drawn more often than this on average, however rare its domain is: rates stay in [0, MAX_RATE].
-MAX_RATE = 4.0
 #: Rates this near a whole number count as that number when documents are drawn: no more than rounding errors.
 SNAP = 1e-6
 
@@ -106,18 +105,26 @@ def posteriors(docs: DataFrame, weights: DataFrame, domains: list[str]) -> DataF
     return sums.select("doc_id", "k", "n_tokens", *[(p / reduce(lambda a, b: a + b, parts)).alias(f"p_{i}") for i, p in enumerate(parts)])
 
 
-def fit_rates(table: DataFrame, shares: list[float], ws: Workspace, steps: int = STEPS, tolerance: float = 1e-4, max_rate: float = MAX_RATE) -> DataFrame:
-    """The table with a column rate; shares are the domains' target shares, the first domain's total stays as it is."""
-    size = range(len(shares))
-    moved = lambda r, c: F.least(F.lit(max_rate), F.greatest(F.lit(0.0), r + reduce(lambda a, b: a + b, [F.col(f"p_{i}") * float(c[i]) for i in size])))
-    first = table.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{i}") * F.col(f"p_{j}")).alias(f"g_{i}_{j}") for i in size for j in size], *[F.sum(F.col("n_tokens") * F.col(f"p_{i}")).alias(f"t_{i}") for i in size]).first()
-    if not any(first[f"t_{i}"] for i in size):
+def fit_rates(table: DataFrame, shares: list[float], ws: Workspace, steps: int = STEPS, tolerance: float = 1e-4, max_rate: float | None = None) -> DataFrame:
+    """The table with a column rate; shares are the domains' target shares, the first domain's total stays as it is.
+
+    Rates have no upper bound but the one that is asked for. Domains without a token in documents that
+    most likely belong to them are left out; the anchor is the first of the others with a share.
+    """
+    tokens = [F.sum(F.when(F.col(f"p_{i}") > 0.5, F.col("n_tokens"))).alias(f"n_{i}") for i in range(len(shares))]
+    there = table.agg(*tokens).first()
+    size = [i for i in range(len(shares)) if there[f"n_{i}"]]
+    shares = [shares[i] for i in size]
+    if not size:
         return table.withColumn("rate", F.lit(1.0))
+    positive = lambda r, c: F.greatest(F.lit(0.0), r + reduce(lambda a, b: a + b, [F.col(f"p_{i}") * float(x) for i, x in zip(size, c, strict=True)]))
+    moved = positive if max_rate is None else lambda r, c: F.least(F.lit(max_rate), positive(r, c))
+    first = table.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{i}") * F.col(f"p_{j}")).alias(f"g_{i}_{j}") for i in size for j in size], *[F.sum(F.col("n_tokens") * F.col(f"p_{i}")).alias(f"t_{i}") for i in size]).first()
     gram = np.array([[first[f"g_{i}_{j}"] for j in size] for i in size], float)
     totals = np.array([first[f"t_{i}"] for i in size], float)
     scale = totals.sum()
     weight = np.linalg.pinv(gram / scale, rcond=1e-9) / scale
-    anchor = totals[0] / shares[0] if shares[0] and totals[0] else scale
+    anchor = next((t / share for t, share in zip(totals, shares, strict=True) if share), scale)
     targets = np.array(shares, float) * anchor
     table = table.withColumn("rate", F.lit(1.0))
     misses, held = [], 0
@@ -144,7 +151,7 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + chance).cast("long")
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ws: Workspace, max_rate: float = MAX_RATE) -> DataFrame:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ws: Workspace) -> DataFrame:
     """One row per input row: doc_id, k, n_tokens, p_<domain> ..., rate, copies.
 
     Tokens are runs of anything but ASCII white space. A null or empty text has none; its posterior is the
@@ -154,13 +161,21 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """
     docs, domains = docs.select("doc_id", "text"), list(targets)
     table = ws.table(posteriors(docs, fit(docs, labelled, domains, ws), domains), "posteriors")
-    table = fit_rates(table, [targets[d] for d in domains], ws, max_rate=max_rate)
+    table = fit_rates(table, [targets[d] for d in domains], ws)
     return table.select("doc_id", "k", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, ws: Workspace, targets: dict[str, float] | None = None, max_rate: float = MAX_RATE) -> DataFrame:
+def attained(rated: DataFrame, targets: dict[str, float]) -> dict[str, tuple[float, float, float]]:
+    """Of each domain the target share of tokens, the share at the fitted rates and the share as drawn; ``rated`` is of ``mixing_rates``."""
+    sums = [F.sum(F.col("n_tokens") * F.col(c) * F.col(f"p_{d}")).alias(f"{c}_{d}") for c in ("rate", "copies") for d in targets]
+    row = rated.agg(*sums).first()
+    total = {c: sum(row[f"{c}_{d}"] or 0.0 for d in targets) or 1.0 for c in ("rate", "copies")}
+    return {d: (share, *((row[f"{c}_{d}"] or 0.0) / total[c] for c in total)) for d, share in targets.items()}
+
+
+def mix(docs: DataFrame, labelled: DataFrame, ws: Workspace, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents as drawn: rows with no copy go, rows with several are repeated; the columns stay."""
-    rated = ws.table(mixing_rates(docs, labelled, targets or TARGETS, ws, max_rate).select(F.col("doc_id").alias("rated_id"), "k", "copies").distinct(), "drawn")
+    rated = ws.table(mixing_rates(docs, labelled, targets or TARGETS, ws).select(F.col("doc_id").alias("rated_id"), "k", "copies").distinct(), "drawn")
     key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
     drawn = docs.join(rated, docs["doc_id"].eqNullSafe(rated["rated_id"]) & (key == rated["k"])).where("copies > 0")
     return drawn.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")

@@ -447,6 +447,25 @@ def test_draws_meet_targets(spark):
     assert np.allclose(drawn[:2], fitted[:2], rtol=0.1) and abs(drawn[1] / sum(drawn) - 0.015) < 0.0015
 
 
+def test_rare_and_absent_domains(spark):
+    # One token in a thousand is of low: its documents are drawn about 15 times.
+    p = [[0.998, 0.001, 0.001], [0.001, 0.998, 0.001], [0.001, 0.001, 0.998]]
+    table = lambda kind: spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(100).cast("long").alias("n_tokens"), *[F.array(*[F.lit(x[i]) for x in p])[kind].alias(f"p_{i}") for i in range(3)])
+    targets = {"0": 0.985, "1": 0.015, "2": 0.0}
+    rare = F.when(F.col("id") % 1000 == 0, 1).when(F.col("id") % 1000 < 20, 2).otherwise(0)
+    out = soft_mixing.fit_rates(table(rare), list(targets.values()), Workspace(spark, "t"), steps=60)
+    out = out.withColumn("copies", soft_mixing.copies(F.col("rate"), F.col("doc_id")))
+    shares = soft_mixing.attained(out, targets)
+    assert out.agg(F.max("rate")).first()[0] > 10
+    assert abs(shares["1"][1] - 0.015) < 0.0005 and abs(shares["1"][2] - 0.015) < 0.001 and shares["0"][2] > 0.98
+    # Without any document of low the others are mixed as they should be, and no document is drawn hundreds of times.
+    none = F.when(F.col("id") % 1000 < 200, 2).otherwise(0)
+    out = soft_mixing.fit_rates(table(none), list(targets.values()), Workspace(spark, "t"))
+    out = out.withColumn("copies", soft_mixing.copies(F.col("rate"), F.col("doc_id")))
+    shares = soft_mixing.attained(out, targets)
+    assert shares["0"][2] > 0.99 and out.where("p_0 > 0.5 AND copies = 0").count() == 0 and out.agg(F.max("copies")).first()[0] <= 2
+
+
 def test_mixing_cases(spark, duck):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (9, 0, 1), (9, 1, None), (None, 1, 1), (10, None, None)], "doc_id long, quality int, toxic int")
     domains = soft_mixing.domains_of(labels)
