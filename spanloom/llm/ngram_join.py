@@ -129,15 +129,16 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, words: int) -> Iterat
 
 
 def _survey(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, sig of each row; then, at the task's end, the task's counts by n-gram hash in compressed slabs."""
+    """doc_id, n, sig and further columns of each row; then, at the task's end, the task's counts by n-gram hash in compressed slabs."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     names = ["doc_id", "n", "sig", "slab", "counts"]
     waiting: list[np.ndarray] = []
     for part, sets in _texts(batches, 1, words):
-        rows = part.num_rows
+        rows, further = part.num_rows, part.columns[2:]
+        kinds = [x.type for x in further]
         yield pa.RecordBatch.from_arrays(
-            [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-            names=names,
+            [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), *further],
+            names=[*names, *part.schema.names[2:]],
         )
         waiting.append(_buckets(np.concatenate(sets)))
         if sum(map(len, waiting)) >= 1 << 20:
@@ -148,7 +149,7 @@ def _survey(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
     if counts.any():
         press = zstandard.ZstdCompressor(level=1)
         slabs = [press.compress(_by_byte(x)) for x in counts.reshape(_SLABS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(_SLABS, pa.int64()), pa.nulls(_SLABS, pa.int64()), pa.nulls(_SLABS, pa.binary()), pa.array(range(_SLABS), pa.int32()), pa.array(slabs, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(_SLABS, pa.int64()), pa.nulls(_SLABS, pa.int64()), pa.nulls(_SLABS, pa.binary()), pa.array(range(_SLABS), pa.int32()), pa.array(slabs, pa.binary()), *[pa.nulls(_SLABS, x) for x in kinds]], names=[*names, *part.schema.names[2:]])
 
 
 def _by_byte(counts: np.ndarray) -> bytes:
@@ -302,23 +303,24 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Worksp
     return None if found.isEmpty() else found
 
 
-def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int = FEW, words: int = WORDS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int = FEW, words: int = WORDS, keyed: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id; with ``keyed`` also k, the text's key, and the component's label.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. Null and empty texts have no
     n-gram and are linked with nothing. Equal texts are linked whatever their ids; null ids are never a
     component's id unless it has no other. An empty table gives an empty result; columns other than doc_id
     and text are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    survey = ws.table(docs.mapInArrow(lambda batches: _survey(batches, words), "doc_id long, n long, sig binary, slab int, counts binary"), "survey")
+    docs, key = docs.select("doc_id", "text"), ["k"] if keyed else []
+    read = docs.select("*", *[text_key(F.col("text")).alias(x) for x in key])
+    survey = ws.table(read.mapInArrow(lambda batches: _survey(batches, words), ", ".join(["doc_id long, n long, sig binary, slab int, counts binary", *[f"{x} binary" for x in key]])), "survey")
     slabs = survey.where("slab IS NOT NULL").select("slab", "counts").repartition("slab").mapInArrow(_add_slabs, "slab int, classes binary")
     # Fixed in size: one byte a counter.
     classes = np.zeros((_SLABS, (1 << SKETCH_BITS) // _SLABS), np.uint8)
     for row in slabs.toLocalIterator():
         classes[row["slab"]] = np.frombuffer(row["classes"], np.uint8)
     order = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
-    rows = survey.where("slab IS NULL").select("doc_id", "n", "sig")
+    rows = survey.where("slab IS NULL").select("doc_id", "n", "sig", *key)
     entities = _prefixes(docs, order, words, percent).groupBy("sig").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
     entities = ws.table(entities.withColumn("eid", F.monotonically_increasing_id()), "entities")
     labels = link_entities(docs, entities, ws, percent, few, words=words)
@@ -326,20 +328,25 @@ def ngram_join(docs: DataFrame, ws: Workspace, percent: int = PERCENT, few: int
     # Both sides come straight from tables, so that adaptive execution may split a hot set or component.
     placed = ws.table(rows.join(ws.table(named, "named"), "sig", "left"), "placed")
     lowest = ws.table(placed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("low")), "lowest")
-    return placed.join(lowest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    return placed.join(lowest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"), *key, *["label"] * keyed)
 
 
 def keep_one(docs: DataFrame, ws: Workspace, broadcast_docs: int = BROADCAST_SETS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the smallest doc_id stays, of rows repeated in full one.
 
-    Rows with a null id can't be named and stay.
+    Where an id repeats with different texts, each text is judged by itself: it goes with its own component,
+    and of near copies under one id that with the smallest key stays. Rows with a null id can't be named and stay.
     """
-    found = ws.table(ngram_join(docs, ws, percent, words=words), "found")
-    gone = ws.table(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    found = ws.table(ngram_join(docs, ws, percent, words=words, keyed=True), "found")
+    repeated = ws.table(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    twice = found.where("doc_id = component_id AND label IS NOT NULL").join(repeated, "doc_id", "left_semi").select("doc_id", "label", "k").distinct()
+    stays = twice.groupBy("label").agg(F.min("k").alias("stays"))
+    within = twice.join(stays, "label").where("k <> stays").select("doc_id", "k")
+    gone = found.where("doc_id <> component_id").select("doc_id", "k").unionByName(within).distinct()
+    gone = ws.table(gone.select(F.col("doc_id").alias("gone_id"), F.col("k").alias("gone_k")), "gone")
     if gone.count() <= broadcast_docs:
         gone = F.broadcast(gone)
-    rows = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = ws.table(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    rows = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (text_key(docs["text"]) == gone["gone_k"]), "left_anti")
     if repeated.isEmpty():
         return rows
     once = rows.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])

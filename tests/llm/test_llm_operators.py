@@ -336,6 +336,18 @@ def test_ngram_join_of_nothing(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_keep_one_of_ids_with_several_texts(spark, limit):
+    a, b, c = ("a b c d e f", "g h i j k l", " ".join(f"c{i}" for i in range(60)))
+    docs = [(1, a), (5, a), (5, b), (5, b), (6, c), (6, c + " end"), (7, b), (8, None), (8, ""), (None, a), (None, a)]
+    kept = ngram_join.keep_one(table(spark, docs), Workspace(spark, "t"), broadcast_docs=limit)
+    assert kept.columns == table(spark).columns
+    found = rows(kept, "doc_id", "text")
+    # Of near copies under one id, one stays.
+    assert sum(x == 6 for x, _ in found) == 1 and [x for x in found if x[0] == 6][0] in docs
+    assert [x for x in found if x[0] != 6] == sorted([(1, a), (5, b), (8, None), (8, ""), (None, a), (None, a)], key=str)
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_components(spark, small):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
