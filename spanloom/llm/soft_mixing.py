@@ -1,146 +1,274 @@
 """Mixing by soft membership: posteriors of domains, then document rates whose expected totals match targets.
 
-A naive Bayes classifier on the presence and absence of words and word shapes is fitted to a labelled table and gives
-every document a probability for each domain. With n_i the tokens of document i and p_id its probability
-of domain d, rates r_i >= 0 are fitted so that the sums of n_i r_i p_id come as near the target totals as
-they can, in least squares. A domain that no document most likely belongs to can't be drawn at any rate: it
-is left out of the fit, and the others keep their targets. ``attained`` tells totals next to targets. Only built-in DataFrame functions touch rows.
-
-The gradient steps start from rate 1. Residuals are weighted by the inverse of the domains' Gram matrix
-(sums of n_i p_ic p_id) and rates are measured in tokens; in that geometry a full step is never too long,
-so plain projected gradient converges without a search for a step. A step needs one aggregation of as many
-sums as there are domains; the driver sees nothing else.
+Domains are named by paths: ``clean/en`` is a part of ``clean``. A naive Bayes classifier on the presence of
+words, word shapes and the share of distinct words is fitted to a labelled table, one split for each level
+of the paths, and gives every document a probability for each domain. With n_i the tokens of document i and
+p_id its probability of domain d, rates r_i >= 0 are fitted so that the sums of n_i r_i p_id come as near the
+target totals as they can, in least squares. Only built-in DataFrame functions touch rows.
+
+Only features that most of their labelled documents share with one domain are evidence. What a document lacks
+counts at the first level alone, whose features are the same in all languages; which language it is in follows
+from what is there, so that short texts and those with rare words are not taken for another domain.
+
+The gradient steps start from rate 1. A domain's miss is weighed by the inverse of its own tokens, and rates are
+measured in tokens; in that geometry a full step is never too long, so plain projected gradient converges
+without a search for a step, and a domain with next to no tokens can't move more than its own target. A step
+needs one aggregation of as many sums as there are domains; the driver sees nothing else. A document's rate
+follows from its probabilities and the list of steps, so the fitted rates need no join.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, documents
+from .workspace import Workspace, documents, unused
 
 QUERY = "op1_soft_mixing"
 
-#: Domains with their target shares of tokens. The first one there is the anchor: its total stays as it is.
-TARGETS = {"clean": 0.985, "low": 0.015, "toxic": 0.0}
+#: Domains with their target shares of tokens: languages nearer to each other than they come, little of low quality, nothing toxic.
+TARGETS = {"clean/en": 0.52, "clean/de": 0.165, "clean/fr": 0.16, "clean/es": 0.14, "low": 0.015, "toxic": 0.0}
+#: Domains that must not shrink: the total is the smallest at which each of them keeps at least its tokens.
+WHOLE = ("clean/en", "clean/de", "clean/fr", "clean/es")
 #: The classifier is fitted to at most so many labelled documents, those with the smallest id hashes.
 LABELLED = 20_000
-#: Words and shapes that the classifier uses at most: the most telling by G statistic.
-FEATURES = 2_000
-MIN_FREQUENCY = 4
-MIN_G = 20.0
-STEPS = 30
+#: A feature counts when at least so many labelled documents hold it, and this share of one domain's at each level,
+MIN_FREQUENCY, FLOORS = 4, (0.015, 0.1)
+#: when that domain has this share of those documents, and this many times its share of all at each level,
+PURITY, LIFTS = 0.7, (2.0, 1.2)
+#: and when its G statistic is beyond chance.
+MIN_G = 12.0
+#: Steps after which a fit that still moves is an error; misses of this share of the total are met.
+STEPS, TOLERANCE = 200, 1e-3
 #: Rates this near a whole number count as that number when documents are drawn: no more than rounding errors.
 SNAP = 1e-6
 
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
-def domains_of(labels: DataFrame) -> DataFrame:
-    """doc_id, domain: toxic before low before clean; rows that repeat an id agree on the worst, rows without an id or labels are left out."""
+def _sum(columns) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def domains_of(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, domain: toxic before low before clean/<lang>; rows that repeat an id agree on the worst.
+
+    Rows without an id or labels are left out, as are clean documents without a language.
+    """
     worst = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
-    return worst.select("doc_id", domain.alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
+    langs = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, F.concat(F.lit("clean/"), "lang"))
+    return worst.where("doc_id IS NOT NULL").join(langs, "doc_id").select("doc_id", domain.alias("domain")).where("domain IS NOT NULL")
+
 
+def tokens(text: Column) -> Column:
+    """Runs of anything but ASCII white space."""
+    return F.filter(F.split(text, _BLANK), lambda x: x != "")
 
-def _features(text: Column) -> Column:
-    """Lower-case words without what is not a letter, and, after ^, the tokens' shapes: a for letters, 0 for digits."""
+
+def features(text: Column, tokens: Column) -> Column:
+    """64-bit hashes of lower-case words without what is not a letter, of ^ and the tokens' shapes, and of ~ and each tenth up to six that the share of distinct tokens is below."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    shapes = F.split(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\p{L}\p{M}]+", "a"), r"\p{N}+", "0"), _BLANK, " ^")), " ")
-    return F.array_distinct(F.concat(words, shapes))
+    shapes = F.split(F.regexp_replace(F.regexp_replace(text, r"[\p{L}\p{M}]+", "a"), r"\p{N}+", "0"), _BLANK)
+    n = F.size(tokens)
+    below = (F.floor(10 * F.size(F.array_distinct(tokens)) / n) + 1).cast("int")
+    share = F.when((n > 0) & (10 * F.size(F.array_distinct(tokens)) < 6 * n), F.transform(F.sequence(below, F.lit(6)), lambda x: F.xxhash64(F.lit("~"), x))).otherwise(F.array().cast("array<bigint>"))
+    hashed = [F.transform(F.array_remove(words, ""), lambda x: F.xxhash64(x)), F.transform(F.array_remove(shapes, ""), lambda x: F.xxhash64(F.lit("^"), x)), share]
+    return F.concat(*hashed)
+
+
+# ---- the classifier ----
+
 
+@dataclass
+class Split:
+    """One level of the paths below ``parent``: its parts, their log weights without any feature, and each feature's log weights."""
 
-def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspace) -> DataFrame:
-    """feature, w_0, w_1, ...: log weights by domain, at most ``FEATURES`` rows, and one of the priors with feature ''.
+    parent: str
+    parts: list[str]
+    priors: list[float]
+    weights: dict[int, list[float]]
 
-    Documents are matched to labels by id. A domain without a labelled document has a prior of almost
-    nothing and neutral weights.
+
+def _splits(domains: list[str]) -> list[tuple[str, list[str]]]:
+    """(parent, parts) of each inner node of the paths, from the top."""
+    found: dict[str, list[str]] = {}
+    for domain in domains:
+        steps = domain.split("/")
+        for i, step in enumerate(steps):
+            parts = found.setdefault("/".join(steps[:i]), [])
+            if step not in parts:
+                parts.append(step)
+    return sorted(found.items(), key=lambda x: (x[0].count("/") + bool(x[0]), x[0]))
+
+
+def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspace) -> list[Split]:
+    """The classifier, fitted to the documents whose ids are labelled with one of the domains.
+
+    A part without a labelled document has a prior of almost nothing and neutral weights.
     """
-    chosen = labelled.where(F.col("domain").isin(domains)).select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    chosen = labelled.where(F.col("domain").isin(domains)).select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(LABELLED)
     # At most LABELLED rows of two short columns.
-    known = docs.where("doc_id IS NOT NULL").join(F.broadcast(ws.table(chosen, "chosen")), "doc_id").select("doc_id", "domain", F.coalesce("text", F.lit("")).alias("text"))
-    count = lambda: [F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(domains)]
-    sizes = [float(x or 0) for x in known.agg(*count()).first()]
-    total = sum(sizes)
-    seen = known.select("domain", F.explode_outer(_features(F.col("text"))).alias("feature")).where("feature <> ''")
-    table = seen.groupBy("feature").agg(*count()).withColumn("n", reduce(lambda a, b: a + b, [F.col(f"n_{i}") for i in range(len(domains))]))
-    # G: how far the domains' shares of a feature's documents are from the domains' sizes, absences included.
+    known = docs.where("doc_id IS NOT NULL").join(F.broadcast(ws.table(chosen, "chosen")), "doc_id").select("domain", F.coalesce("text", F.lit("")).alias("text"))
+    known = known.select("domain", "text", tokens(F.col("text")).alias("tokens")).select("domain", F.array_distinct(features(F.col("text"), F.col("tokens"))).alias("features"))
+    known = ws.table(known, "known")
+    count = [F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(domains)]
+    row = known.agg(*count).first()
+    sizes = dict(zip(domains, map(float, row), strict=True))
+    table = ws.table(known.select("domain", F.explode("features").alias("feature")).groupBy("feature").agg(*count), "feature_counts")
+    out = []
+    for parent, parts in _splits(domains):
+        under = lambda part: [i for i, d in enumerate(domains) if f"{d}/".startswith(f"{parent}/{part}/" if parent else f"{part}/")]  # noqa: B023, E731
+        size = [sum(sizes[domains[i]] for i in under(p)) for p in parts]
+        total = sum(size)
+        priors = [float(np.log((s + 0.01) / (total + 0.01 * len(parts)))) for s in size]
+        n = [_sum([F.col(f"n_{i}") for i in under(p)]) for p in parts]
+        level = min(parent.count("/") + bool(parent), len(FLOORS) - 1)
+        picked = _telling(table.select("feature", *[x.cast("double").alias(f"c_{i}") for i, x in enumerate(n)]), size, FLOORS[level], LIFTS[level])
+        rows = picked.collect()  # features of LABELLED documents at most
+        c = np.array([r[1:] for r in rows], float).reshape(len(rows), len(parts))
+        here = c.sum(1, keepdims=True)
+        # A part's rate of a feature is drawn towards the overall one, as if two more documents had it.
+        rates = np.minimum((c + 2 * here / max(total, 1.0)) / (np.array(size) + 2), 0.999)
+        if level:
+            weights = np.log(rates / (here / max(total, 1.0)))
+        else:
+            weights = np.log(rates / (1 - rates))
+            priors = (np.array(priors) + np.log(1 - rates).sum(0)).tolist()
+        out.append(Split(parent, parts, priors, {r[0]: w for r, w in zip(rows, weights.tolist(), strict=True)}))
+    return out
+
+
+def _telling(table: DataFrame, size: list[float], floor: float, lift: float) -> DataFrame:
+    """The features that most of their documents share with one part, and that enough of the part's documents have."""
+    total = max(sum(size), 1.0)
+    here = F.col("here")
+    table = table.withColumn("here", _sum([F.col(f"c_{i}") for i in range(len(size))])).where(here >= MIN_FREQUENCY)
+    pure = [(F.col(f"c_{i}") >= PURITY * here) & (F.col(f"c_{i}") * total >= lift * here * s) & (F.col(f"c_{i}") >= floor * s) for i, s in enumerate(size)]
     terms = []
-    for i, size in enumerate(sizes):
-        share = size / max(total, 1.0)
-        for here, of in ((F.col(f"n_{i}"), F.col("n")), (F.lit(size) - F.col(f"n_{i}"), F.lit(total) - F.col("n"))):
-            expected = of * F.lit(share)
-            terms.append(F.when((here > 0) & (expected > 0), 2 * here * F.log(here / expected)).otherwise(0.0))
-    table = table.where(F.col("n") >= MIN_FREQUENCY).withColumn("g", reduce(lambda a, b: a + b, terms)).where(F.col("g") >= MIN_G)
-    table = table.orderBy(F.desc("g"), "feature").limit(FEATURES)
-    # Each domain's rate of a feature is drawn towards the overall one, as if two more documents had it.
-    rates = [((F.col(f"n_{i}") + 2 * F.col("n") / max(total, 1.0)) / (size + 2)).alias(f"r_{i}") for i, size in enumerate(sizes)]
-    table = ws.table(table.select("feature", *[F.least(r, F.lit(0.999)).alias(f"r_{i}") for i, r in enumerate(rates)]), "feature_rates")
-    # A feature adds its log odds; the empty feature has the prior and what it counts to have none of them.
-    weights = table.select("feature", *[F.log(F.col(f"r_{i}") / (1 - F.col(f"r_{i}"))).alias(f"w_{i}") for i in range(len(sizes))])
-    priors = [float(np.log((s + 0.01) / (total + 0.01 * len(sizes)))) for s in sizes]
-    base = table.agg(*[(F.coalesce(F.sum(F.log(1 - F.col(f"r_{i}"))), F.lit(0.0)) + p).alias(f"w_{i}") for i, p in enumerate(priors)])
-    return ws.table(weights.unionByName(base.select(F.lit("").alias("feature"), "*")), "weights")
-
-
-def posteriors(docs: DataFrame, weights: DataFrame, domains: list[str]) -> DataFrame:
-    """doc_id, k (told apart by text), n_tokens, p_0, p_1, ...; every feature of the whole text counts once."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("rid"))
-    tokens = F.size(F.filter(F.split("text", _BLANK), lambda x: x != ""))
-    # The empty feature carries the priors and keeps documents without a known feature. What a document has
-    # once is computed before its features are listed, not for each of them.
-    features = F.array_append(F.array_remove(_features(F.col("text")), ""), F.lit(""))
-    once = rows.select("rid", "doc_id", F.unhex(F.md5("text")).alias("k"), tokens.cast("long").alias("n_tokens"), features.alias("features"))
-    # The list is never empty; an outer explode spares a filter that would make it twice.
-    pieces = once.select("rid", "doc_id", "k", "n_tokens", F.explode_outer("features").alias("feature"))
-    # At most FEATURES + 1 rows are broadcast. Each document becomes one row before the shuffle.
-    hits = pieces.join(F.broadcast(weights), "feature")
-    sums = hits.groupBy("rid", "doc_id", "k", "n_tokens").agg(*[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(len(domains))])
-    top = F.greatest(*[F.col(f"s_{i}") for i in range(len(domains))])
-    parts = [F.exp(F.col(f"s_{i}") - top) for i in range(len(domains))]
-    return sums.select("doc_id", "k", "n_tokens", *[(p / reduce(lambda a, b: a + b, parts)).alias(f"p_{i}") for i, p in enumerate(parts)])
-
-
-def fit_rates(table: DataFrame, shares: list[float], ws: Workspace, steps: int = STEPS, tolerance: float = 1e-4, max_rate: float | None = None) -> DataFrame:
-    """The table with a column rate; shares are the domains' target shares, the first domain's total stays as it is.
-
-    Rates have no upper bound but the one that is asked for. Domains without a token in documents that
-    most likely belong to them are left out; the anchor is the first of the others with a share.
+    for i, s in enumerate(size):  # G: how far the parts' shares of a feature's documents are from their sizes, absences included
+        for seen, of in ((F.col(f"c_{i}"), here), (s - F.col(f"c_{i}"), total - here)):
+            expected = of * (s / total)
+            terms.append(F.when((seen > 0) & (expected > 0), 2 * seen * F.log(seen / expected)).otherwise(0.0))
+    return table.where(reduce(lambda a, b: a | b, pure)).where(_sum(terms) >= MIN_G).select("feature", *[f"c_{i}" for i in range(len(size))])
+
+
+def _slots(keys: list[int]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(shift, moves, places): each key is at ((key >>> shift) ^ moves[key & (len(moves) - 1)]) & (len(places) - 1), alone."""
+    size = 1 << max(1, (2 * len(keys)).bit_length())
+    h = np.array(keys, np.int64).view(np.uint64)
+    while True:
+        for shift in range(16, 48, 2):
+            spread = ((h >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64)
+            lists: dict[int, list[int]] = {}
+            for i, b in enumerate((h & np.uint64(size // 2 - 1)).tolist()):
+                lists.setdefault(b, []).append(i)
+            moves, places = np.zeros(max(size // 2, 1), np.int64), np.zeros(size, np.int64)
+            taken = np.zeros(size, bool)
+            for b, some in sorted(lists.items(), key=lambda x: -len(x[1])):
+                at = spread[some]
+                move = next((m for m in range(size) if not taken[at ^ m].any()), None) if len(set(at.tolist())) == len(some) else None
+                if move is None:
+                    break
+                moves[b], taken[at ^ move] = move, True
+                places[at ^ move] = h[some].view(np.int64)
+            else:
+                return shift, moves, places
+        size *= 2
+
+
+def _array(values: np.ndarray, kind: str) -> Column:
+    """A constant array, folded by the optimizer."""
+    return F.split(F.lit(",".join(repr(x) for x in values.tolist())), ",").cast(f"array<{kind}>")
+
+
+def posteriors(text: Column, tokens: Column, splits: list[Split], domains: list[str]) -> tuple[Column, callable]:
+    """(the document's telling features, a function from a column of those to the array of its domains' probabilities)."""
+    keys = sorted({k for s in splits for k in s.weights} | {1})
+    shift, moves, places = _slots(keys)
+    move, place = _array(moves, "bigint"), _array(places, "bigint")
+    slot = lambda h: F.shiftrightunsigned(h, shift).bitwiseXOR(F.get(move, h.bitwiseAND(F.lit(len(moves) - 1)).cast("int"))).bitwiseAND(F.lit(len(places) - 1)).cast("int")
+    hits = F.array_distinct(F.transform(F.filter(features(text, tokens), lambda h: F.get(place, slot(h)) == h), slot))
+
+    def probabilities(hits: Column) -> Column:
+        chance: dict[str, Column] = {}
+        for split in splits:
+            sums = []
+            for i, prior in enumerate(split.priors):
+                table = _array(np.array([split.weights.get(int(k), (0.0,) * (i + 1))[i] for k in places]), "double")
+                sums.append(F.aggregate(hits, F.lit(prior), lambda acc, at: acc + F.get(table, at)))  # noqa: B023
+            top = F.greatest(*sums) if len(sums) > 1 else sums[0]
+            powers = [F.exp(s - top) for s in sums]
+            for part, power in zip(split.parts, powers, strict=True):
+                path = f"{split.parent}/{part}" if split.parent else part
+                chance[path] = (power / _sum(powers)) * chance.get(split.parent, F.lit(1.0))
+        return F.array(*[chance[d] for d in domains])
+
+    return hits, probabilities
+
+
+# ---- the rates ----
+
+
+@dataclass
+class Fit:
+    """Steps of the rates (a vector of the domains' pushes each), and each domain's target and expected tokens at the fitted rates."""
+
+    steps: list[list[float]]
+    targets: list[float]
+    totals: list[float]
+
+
+def rate(p: Column, steps: list[list[float]], start: Column | None = None) -> Column:
+    """The rate of a document with these probabilities after the steps."""
+    start = F.lit(1.0) if start is None else start
+    if not steps:
+        return start
+    pushes = F.transform(F.split(F.lit(";".join(",".join(map(repr, s)) for s in steps)), ";"), lambda s: F.split(s, ",").cast("array<double>"))
+    push = lambda c: F.aggregate(F.zip_with(p, c, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(pushes, start, lambda r, c: F.greatest(F.lit(0.0), r + push(c)))
+
+
+def fit_rates(table: DataFrame, shares: list[float], whole: list[int], ws: Workspace, steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """Steps to rates whose expected totals meet the shares; table: n (tokens), p (probabilities of each domain).
+
+    The total is the smallest at which each domain of ``whole`` keeps its tokens, or today's where none has
+    a share. Domains without a token in documents that most likely belong to them can't be drawn at any
+    rate: they are left out of the fit, and the others keep their targets; ``Fit`` shows the miss. Rates have no upper bound.
     """
-    tokens = [F.sum(F.when(F.col(f"p_{i}") > 0.5, F.col("n_tokens"))).alias(f"n_{i}") for i in range(len(shares))]
-    there = table.agg(*tokens).first()
-    size = [i for i in range(len(shares)) if there[f"n_{i}"]]
-    shares = [shares[i] for i in size]
-    if not size:
-        return table.withColumn("rate", F.lit(1.0))
-    positive = lambda r, c: F.greatest(F.lit(0.0), r + reduce(lambda a, b: a + b, [F.col(f"p_{i}") * float(x) for i, x in zip(size, c, strict=True)]))
-    moved = positive if max_rate is None else lambda r, c: F.least(F.lit(max_rate), positive(r, c))
-    first = table.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{i}") * F.col(f"p_{j}")).alias(f"g_{i}_{j}") for i in size for j in size], *[F.sum(F.col("n_tokens") * F.col(f"p_{i}")).alias(f"t_{i}") for i in size]).first()
-    gram = np.array([[first[f"g_{i}_{j}"] for j in size] for i in size], float)
-    totals = np.array([first[f"t_{i}"] for i in size], float)
-    scale = totals.sum()
-    weight = np.linalg.pinv(gram / scale, rcond=1e-9) / scale
-    anchor = next((t / share for t, share in zip(totals, shares, strict=True) if share), scale)
-    targets = np.array(shares, float) * anchor
-    table = table.withColumn("rate", F.lit(1.0))
-    misses, held = [], 0
-    for step in range(steps):
-        change = weight @ (targets - totals)
-        table = table.withColumn("rate", moved(F.col("rate"), change))
-        held += 1
-        if held == 6:  # keeps the expression short
-            table, held = ws.table(table, f"rates-{step}"), 0
-        row = table.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{i}")).alias(f"t_{i}") for i in size]).first()
-        totals = np.array([row[f"t_{i}"] for i in size], float)
-        gap = targets - totals
-        misses.append(float(gap @ weight @ gap) / scale)
-        if misses[-1] < tolerance**2 or (len(misses) > 1 and misses[-2] - misses[-1] < tolerance * misses[-2]):
+    k = len(shares)
+    each = lambda f: [f(i).alias(f"x_{i}") for i in range(k)]
+    row = table.agg(*each(lambda i: F.sum(F.when(F.col("p")[i] > 0.5, F.col("n")))), *[F.sum(F.col("n") * F.col("p")[i]).alias(f"t_{i}") for i in range(k)]).first()
+    mass = np.array([row[f"t_{i}"] or 0.0 for i in range(k)], float)
+    there = np.array([bool(row[f"x_{i}"]) for i in range(k)]) & (mass > 0)
+    kept = [i for i in whole if there[i] and shares[i] > 0]
+    total = max((mass[i] / shares[i] for i in kept), default=mass.sum())
+    targets = np.array(shares, float) * total
+    inverse = np.divide(1.0, mass, out=np.zeros(k), where=there)
+    found, totals, start, before = [], mass, None, 0.0
+    recent: list[list[float]] = []
+    while there.any():
+        gap = np.where(there, targets - totals, 0.0)
+        miss = float(gap @ (inverse * gap))
+        if miss <= tolerance**2 * total or (found and before - miss <= tolerance**2 * total):
             break
-    return table
+        if len(found) == steps:
+            raise RuntimeError(f"rates still move after {steps} steps: targets {targets.tolist()}, totals {totals.tolist()}")
+        before = miss
+        recent.append((inverse * gap).tolist())
+        found.append(recent[-1])
+        if len(recent) == 8:  # keeps the expression short
+            table = ws.table(table.select("n", "p", rate(F.col("p"), recent, start).alias("r")), f"rates-{len(found)}")
+            start, recent = F.col("r"), []
+        # The rate once a row, not once a sum.
+        rated = table.select("n", "p", rate(F.col("p"), recent, start).alias("now"))
+        row = rated.agg(*each(lambda i: F.sum(F.col("n") * F.col("now") * F.col("p")[i]))).first()
+        totals = np.array([x or 0.0 for x in row], float)
+    return Fit(found, targets.tolist(), totals.tolist())
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -151,39 +279,63 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + chance).cast("long")
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ws: Workspace) -> DataFrame:
-    """One row per input row: doc_id, k, n_tokens, p_<domain> ..., rate, copies.
+def _judged(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspace, *keep: str) -> tuple[DataFrame, str]:
+    """A table of the kept columns and, in one more column that is returned by name, n and p of each row."""
+    splits = fit(docs.select("doc_id", "text"), labelled, domains, ws)
+    own = unused(docs, "mixing")
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(*[docs[c] for c in keep], F.struct(text.alias("text"), tokens(text).alias("tokens")).alias(own))
+    hits, chances = posteriors(F.col(f"{own}.text"), F.col(f"{own}.tokens"), splits, domains)
+    rows = rows.select(*keep, F.struct(F.size(f"{own}.tokens").cast("long").alias("n"), hits.alias("hits")).alias(own))
+    return ws.table(rows.select(*keep, F.struct(F.col(f"{own}.n").alias("n"), chances(F.col(f"{own}.hits")).alias("p")).alias(own)), "posteriors"), own
+
+
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ws: Workspace, whole: tuple[str, ...] = WHOLE) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, p_<domain> ..., rate, copies.
 
     Tokens are runs of anything but ASCII white space. A null or empty text has none; its posterior is the
-    prior, and it weighs nothing in the fit. Null ids are rated but never count as labelled; repeated rows
+    prior and it weighs nothing in the fit. Null ids are rated but never count as labelled; repeated rows
     are rated alike. Without labels every domain is equally likely. An empty table gives an empty result;
-    columns other than doc_id and text are ignored.
+    columns other than doc_id and text are ignored, whatever their names. Equal counts and ties of any kind
+    don't matter: nothing is ordered but the labelled ids, by hash and id.
     """
-    docs, domains = docs.select("doc_id", "text"), list(targets)
-    table = ws.table(posteriors(docs, fit(docs, labelled, domains, ws), domains), "posteriors")
-    table = fit_rates(table, [targets[d] for d in domains], ws)
-    return table.select("doc_id", "k", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    domains = list(targets)
+    table, own = _judged(docs.select("doc_id", "text"), labelled, domains, ws, "doc_id")
+    table = table.select("doc_id", F.col(f"{own}.n").alias("n"), F.col(f"{own}.p").alias("p"))
+    fitted = fit_rates(table.select("n", "p"), [targets[d] for d in domains], [domains.index(d) for d in whole if d in domains], ws)
+    table = table.withColumn("rate", rate(F.col("p"), fitted.steps))
+    names = [F.col("p")[i].alias(f"p_{d.replace('/', '_')}") for i, d in enumerate(domains)]
+    return table.select("doc_id", F.col("n").alias("n_tokens"), *names, "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def attained(rated: DataFrame, targets: dict[str, float]) -> dict[str, tuple[float, float, float]]:
     """Of each domain the target share of tokens, the share at the fitted rates and the share as drawn; ``rated`` is of ``mixing_rates``."""
-    sums = [F.sum(F.col("n_tokens") * F.col(c) * F.col(f"p_{d}")).alias(f"{c}_{d}") for c in ("rate", "copies") for d in targets]
+    sums = [F.sum(F.col("n_tokens") * F.col(c) * F.col(f"p_{d.replace('/', '_')}")).alias(f"{c}_{d}") for c in ("rate", "copies") for d in targets]
     row = rated.agg(*sums).first()
     total = {c: sum(row[f"{c}_{d}"] or 0.0 for d in targets) or 1.0 for c in ("rate", "copies")}
     return {d: (share, *((row[f"{c}_{d}"] or 0.0) / total[c] for c in total)) for d, share in targets.items()}
 
 
-def mix(docs: DataFrame, labelled: DataFrame, ws: Workspace, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents as drawn: rows with no copy go, rows with several are repeated; the columns stay."""
-    rated = ws.table(mixing_rates(docs, labelled, targets or TARGETS, ws).select(F.col("doc_id").alias("rated_id"), "k", "copies").distinct(), "drawn")
-    key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
-    drawn = docs.join(rated, docs["doc_id"].eqNullSafe(rated["rated_id"]) & (key == rated["k"])).where("copies > 0")
-    return drawn.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+def mix(docs: DataFrame, labelled: DataFrame, ws: Workspace, targets: dict[str, float] | None = None, whole: tuple[str, ...] = WHOLE) -> DataFrame:
+    """The documents as drawn: rows with no copy go, rows with several are repeated; all columns stay, whatever their names.
+
+    Rows are judged as in ``mixing_rates``: null and empty texts by the prior, null ids and repeated rows like any
+    other. The rows are written once with their probabilities, so no join brings texts and rates together.
+    An empty table stays empty.
+    """
+    targets = targets or TARGETS
+    domains = list(targets)
+    table, own = _judged(docs, labelled, domains, ws, *docs.columns)
+    pairs = table.select(F.col(f"{own}.n").alias("n"), F.col(f"{own}.p").alias("p"))
+    fitted = fit_rates(pairs, [targets[d] for d in domains], [domains.index(d) for d in whole if d in domains], ws)
+    drawn = table.withColumn(own, copies(rate(F.col(f"{own}.p"), fitted.steps), F.col("doc_id"))).where(F.col(own) > 0)
+    return drawn.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own)))).drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing_rates(documents(spark, sf_dir), labels, TARGETS, Workspace(spark, "soft-mixing")).drop("k")
+    docs = documents(spark, sf_dir)
+    labels = domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"), docs)
+    return mixing_rates(docs, labels, TARGETS, Workspace(spark, "soft-mixing"))
 
 
 ORACLE_SQL = None
