@@ -33,8 +33,11 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn at the fitted rates; rows with no copy go, rows with several are repeated."""
-    labels = soft_mixing.domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents are drawn at the fitted rates; rows with no copy go, rows with several are repeated.
+
+    Clean documents of the target languages all stay; a domain that no document belongs to misses its target.
+    """
+    labels = soft_mixing.domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"), docs)
     return soft_mixing.mix(docs, labels, Workspace(spark, "pipeline-mixing"))
 
 
