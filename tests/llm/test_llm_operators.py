@@ -235,38 +235,100 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize(("limit", "hot"), [(0, 100_000), (1000, 2)])
-def test_suffix_dedup(spark, monkeypatch, limit, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize(("limit", "split"), [(0, 1 << 18), (1000, 1)])
+def test_suffix_dedup(spark, limit, split):
     rnd = random.Random(7)
     page = lambda n: " ".join("".join(rnd.choice("abcdé") for _ in range(rnd.randrange(1, 9))) for _ in range(n))
     shared = [page(30) for _ in range(4)]
     made = [(i, page(20) + rnd.choice(shared) + page(rnd.randrange(30)) + rnd.choice(shared) + "=" * rnd.randrange(300)) for i in range(20, 60)]
-    docs = [*TEXTS, *made, (61, made[3][1]), (62, made[3][1])]
-    found = suffix_dedup.suffix_dedup(table(spark, docs), Workspace(spark, "t"), broadcast_docs=limit)
+    # One id with two texts, one of which another document holds; copies; a text of many equal bytes.
+    docs = [*TEXTS, *made, (61, made[3][1]), (62, made[3][1]), (63, "x" + made[3][1] + "y"), (64, shared[0] + shared[1] + "é" * 700)]
+    clash = table(spark, docs).withColumns({x: F.lit(5) for x in ("doc", "begin", "end", "kind", "ah", "ch", "at", "wants", "again", "spans", "kept", "n_bytes")})
+    found = suffix_dedup.suffix_dedup(clash, Workspace(spark, "t"), broadcast_docs=limit, split=split)
     found = found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("sha"))
     assert rows(found, *found.columns) == sorted(removed(docs), key=str)
     assert suffix_dedup.suffix_dedup(empty(spark), Workspace(spark, "t")).count() == 0
 
 
-def test_collection_in_blocks_and_files(tmp_path, monkeypatch):
-    rnd = random.Random(5)
-    for block, memory in ((1 << 24, 1 << 25), (40, 150)):
-        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+def test_suffix_dedup_of_ids_with_several_texts(spark):
+    rnd = random.Random(8)
+    page = lambda n: " ".join("".join(rnd.choice("abcdé") for _ in range(rnd.randrange(1, 9))) for _ in range(n))
+    a, b, c = page(60), page(60), page(60)
+    docs = [(5, a + b), (5, c + a), (6, b + "!" + page(9)), (7, "?" + c)]
+    spans = {r["doc_id"]: [] for r in map(dict, [{"doc_id": d} for d, _ in docs])}
+    for r in suffix_dedup.suffix_dedup(table(spark, docs), Workspace(spark, "t"), split=1).collect():
+        spans[r["doc_id"]].append((r["n_bytes"], [tuple(x) for x in r["spans"]]))
+    assert spans[6] == [(len(docs[2][1].encode()), [(0, len(b.encode()))])] and spans[7] == [(len(docs[3][1].encode()), [(1, 1 + len(c.encode()))])]
+    # Texts of one id share their places, so that a's later place goes, in both.
+    first, second = sorted(spans[5], reverse=True) if len((a + b).encode()) > len((c + a).encode()) else sorted(spans[5])
+    assert (len(c.encode()), len((c + a).encode())) in second[1] or (len(c.encode()), second[0]) in second[1]
+
+
+def test_anchors_cover_each_string_once(monkeypatch):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ab é") for _ in range(rnd.choice([0, 5, 90, 101, 400, 1500]))).encode() for _ in range(40)]
+    texts += [texts[4] + texts[7], texts[7] + b"z" + texts[4], b"q" * 700]
+    raw, cuts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for piece in (1 << 20, 333):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        starts, places = [], {}
+        for i, j, here, begin in suffix_dedup._pieces(cuts):
+            for text, ah, _ch, first, count, w in zip(*suffix_dedup.anchors(raw[here[0] : here[-1]], here - here[0]), strict=True):
+                for k in range(int(count)):
+                    at = int(first) + begin + k
+                    starts.append((i + int(text), at))
+                    # Equal strings have one anchor at one place.
+                    string = texts[i + int(text)][at : at + 100]
+                    assert places.setdefault(string, (int(ah), int(w) - k)) == (int(ah), int(w) - k) and 0 <= int(w) - k <= 68
+        assert sorted(starts) == [(i, k) for i, x in enumerate(texts) for k in range(len(x) - 99)]
+
+
+def _later(contexts, doc, at, where):
+    """(document, byte) of later strings' first bytes, by comparing the strings of each column."""
+    first, found = {}, set()
+    each = [(int(d), int(a) + k, (int(w) - k, x[k : k + 100])) for d, a, w, x in zip(doc, at, where, contexts, strict=True) for k in range(len(x) - 99)]
+    for d, a, key in each:
+        first[key] = min(first.get(key, (d, a)), (d, a))
+    return {(d, a) for d, a, key in each if first[key] != (d, a)}
+
+
+@pytest.mark.parametrize("memory", [None, 3000])
+def test_collection(tmp_path, monkeypatch, memory):
+    if memory:
         monkeypatch.setattr(suffix_dedup, "IN_MEMORY", memory)
-        for _ in range(40):
-            length = rnd.randrange(1, 6)
-            strings = [bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randrange(1, 30))) for _ in range(rnd.randrange(1, 12))]
-            found, wanted = collections.defaultdict(set), collections.defaultdict(set)
-            for k, i, g in zip(*suffix_dedup.collection(strings, length, f"file://{tmp_path}"), strict=True):
-                found[int(g)].add((int(k), int(i)))
-            for k, x in enumerate(strings):
-                for i in range(len(x) - length + 1):
-                    wanted[x[i : i + length]].add((k, i))
-            assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
+    rnd = random.Random(5)
+    for _ in range(25):
+        seeds = [bytes(rnd.choice(b"ab") for _ in range(168)) for _ in range(3)]
+        made = []
+        for i in range(rnd.randrange(1, 60)):
+            x, left, size = bytearray(rnd.choice(seeds)), rnd.randrange(69), rnd.randrange(100, 169)
+            for _ in range(rnd.randrange(3)):
+                x[rnd.randrange(168)] = rnd.choice(b"abc")
+            made.append((i // 2, 1000 * (i % 2), 68 - left if left <= 168 - size else 68 - (168 - size), bytes(x[left : left + size]) if left <= 168 - size else bytes(x[168 - size :])))
+        doc, at, where = (np.array([r[i] for r in made]) for i in range(3))
+        contexts = [r[3] for r in made]
+        ranges = suffix_dedup.collection(suffix_dedup.pa.array(contexts, suffix_dedup.pa.binary()), doc, at, where, f"file://{tmp_path}")
+        found = {(d, a) for d, lo, hi in zip(*(x.tolist() for x in ranges), strict=True) for a in range(lo, hi - 99)}
+        assert found == _later(contexts, doc, at, where)
     assert os.listdir(tmp_path) == []
 
 
+def test_collection_writes_files_with_default_limits(tmp_path, monkeypatch):
+    rnd = np.random.default_rng(3)
+    n = 120_000
+    base = rnd.integers(97, 100, 104).astype(np.uint8)
+    rows = np.tile(base, (n, 1))
+    rows[np.arange(n), rnd.integers(0, 104, n)] = rnd.integers(97, 123, n)
+    contexts = [x.tobytes() for x in rows]
+    doc, at, where = np.arange(n), np.zeros(n, np.int64), np.full(n, 30)
+    opened = []
+    attempt = suffix_dedup.attempt
+    monkeypatch.setattr(suffix_dedup, "attempt", lambda: opened.append(1) or attempt())
+    ranges = suffix_dedup.collection(suffix_dedup.pa.array(contexts, suffix_dedup.pa.binary()), doc, at, where, f"file://{tmp_path}")
+    found = {(d, a) for d, lo, hi in zip(*(x.tolist() for x in ranges), strict=True) for a in range(lo, hi - 99)}
+    assert found == _later(contexts, doc, at, where) and opened and os.listdir(tmp_path) == []
+
+
 # ---- n-gram join ----
 
 
