@@ -35,8 +35,8 @@ QUERY = "op5_wavelet_store"
 
 END_ID = 0
 BITS = 16
-#: Bits of a block of a plane.
-BLOCK = 1 << 18
+#: Bits of a block of a plane: 4 KiB, so that access, rank and select unpack little beside their answer.
+BLOCK = 1 << 15
 #: A shard is closed at this many ids; a document stays whole.
 SHARD_TOKENS = 2_000_000
 #: Pieces of text that a worker remembers with their ids; the table starts anew beyond them.
@@ -79,7 +79,8 @@ class WordCache:
         one = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: one.pre_tokenize_str(chr(i))[0][0] for i in range(0x250)}
         self.feed = self._whole("\n")
-        self.known = _Pieces(self)
+        self.known = _Pieces(self, "")
+        self.spaced = _Pieces(self, " ")  # by what follows the space
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -102,27 +103,28 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        out, ids = [], self.known.__getitem__
+        for table in (self.known, self.spaced):
+            if len(table) >= REMEMBERED:
+                table.clear()
+        out, ids = [], self.spaced.__getitem__
         for text in texts:
             if _INNER_SPACE.search(text):
                 out.append(self._whole(text))
                 continue
             head, *rest = text.split(" ")
-            out.append(b"".join(map(ids, [head] * bool(head) + [" " + x for x in rest])))
+            out.append(b"".join([self.known[head] if head else b"", *map(ids, rest)]))
         return out
 
 
 class _Pieces(dict):
-    """Pieces with their ids; a piece that is missing is encoded, and remembered unless it is long."""
+    """The ids of pieces by what follows ``before``; a piece that is missing is encoded, and remembered unless it is long."""
 
-    def __init__(self, words: WordCache):
+    def __init__(self, words: WordCache, before: str):
         super().__init__()
-        self.words = words
+        self.words, self.before = words, before
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.words.piece(piece)
+        found = self.words.piece(self.before + piece)
         if len(piece) <= LONGEST_REMEMBERED:
             self[piece] = found
         return found
@@ -141,13 +143,13 @@ def build(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, bits:
     zeros, ranks, blocks, level = [], [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for plane in range(bits - 1, -1, -1):
         bit = (level >> plane) & 1 != 0
-        packed = np.packbits(bit, bitorder="little").tobytes()
-        pieces = [packed[i * block // 8 : (i + 1) * block // 8] for i in range(per_plane)]
-        ones = np.array([np.count_nonzero(bit[i * block : (i + 1) * block]) for i in range(per_plane)], np.uint64)
+        packed = np.packbits(bit, bitorder="little")
+        pieces = [packed[i * block // 8 : (i + 1) * block // 8].tobytes() for i in range(per_plane)]
+        ones = np.add.reduceat(np.bitwise_count(packed), np.arange(per_plane) * (block // 8), dtype=np.uint64) if n else np.zeros(1, np.uint64)
         ranks.append(np.concatenate(([0], np.cumsum(ones)[:-1])).astype("<u8"))
         zeros.append(n - int(ones.sum()))
         blocks += [press.compress(x) for x in pieces]
-        level = np.concatenate((level[~bit], level[bit]))
+        level = np.concatenate((level.take(np.flatnonzero(~bit)), level.take(np.flatnonzero(bit))))
     ends = np.concatenate(([0], np.cumsum([len(x) for x in blocks]))).astype("<u8")
     return b"".join([
         _HEAD.pack(MAGIC, bits, 0, len(doc_ids), n, block),
@@ -182,13 +184,14 @@ class Shard:
         self.read: dict[int, np.ndarray] = {}
 
     def _block(self, plane: int, i: int) -> np.ndarray:
+        """Bytes of a block, the first bit lowest."""
         k = plane * self.per_plane + i
         if k not in self.read:
-            if len(self.read) >= 4 * self.bits:
+            if len(self.read) >= 32 * self.bits:
                 self.read.clear()
             self.file.seek(self.base + int(self.ends[k]))
             raw = self.plain.decompress(self.file.read(int(self.ends[k + 1] - self.ends[k])), max_output_size=self.block // 8)
-            self.read[k] = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+            self.read[k] = np.frombuffer(raw, np.uint8)
         return self.read[k]
 
     def _ones(self, plane: int, at: int) -> int:
@@ -196,7 +199,9 @@ class Shard:
         if at >= self.n:
             return self.n - self.zeros[plane]
         i, rest = divmod(at, self.block)
-        return int(self.ranks[plane][i]) + int(np.count_nonzero(self._block(plane, i)[:rest]))
+        raw = self._block(plane, i)
+        part = int(raw[rest >> 3]) & ((1 << (rest & 7)) - 1) if rest & 7 else 0
+        return int(self.ranks[plane][i]) + int(np.bitwise_count(raw[: rest >> 3]).sum(dtype=np.int64)) + part.bit_count()
 
     def _select(self, plane: int, bit: int, k: int) -> int:
         """The position of the k-th (from 0) zero or one of a plane."""
@@ -204,7 +209,8 @@ class Shard:
         before = ranks if bit else np.arange(self.per_plane, dtype=np.int64) * self.block - ranks
         i = int(np.searchsorted(before, k, "right")) - 1
         size = min(self.block, self.n - i * self.block)
-        return i * self.block + int(np.flatnonzero(self._block(plane, i)[:size] == bit)[k - int(before[i])])
+        bits = np.unpackbits(self._block(plane, i), count=size, bitorder="little")
+        return i * self.block + int(np.flatnonzero(bits == bit)[k - int(before[i])])
 
     def access(self, at: int) -> int:
         """The id at a position."""
@@ -213,7 +219,7 @@ class Shard:
         value = 0
         for plane in range(self.bits):
             i, rest = divmod(at, self.block)
-            bit = int(self._block(plane, i)[rest])
+            bit = int(self._block(plane, i)[rest >> 3]) >> (rest & 7) & 1
             ones = self._ones(plane, at)
             at = self.zeros[plane] + ones if bit else at - ones
             value = value << 1 | bit
@@ -261,8 +267,8 @@ class Shard:
             packed = b"".join(self.plain.decompress(raw[a:b], max_output_size=self.block // 8) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             bit = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(level)
-            above[~bit] = level[: self.zeros[plane]]
-            above[bit] = level[self.zeros[plane] :] | (1 << (self.bits - 1 - plane))
+            above[np.flatnonzero(~bit)] = level[: self.zeros[plane]]
+            above[np.flatnonzero(bit)] = level[self.zeros[plane] :] | (1 << (self.bits - 1 - plane))
             level = above
         return level
 
