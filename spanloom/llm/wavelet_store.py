@@ -39,8 +39,8 @@ BITS = 16
 BLOCK = 1 << 15
 #: A shard is closed at this many ids; a document stays whole.
 SHARD_TOKENS = 2_000_000
-#: Pieces of text that a worker remembers with their ids; the table starts anew beyond them.
-REMEMBERED = 1_000_000
+#: Pieces of text that a worker remembers with their ids, twice (those met lately and before), of each kind.
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
 
 MAGIC = b"SPWM\x01\x00\x00\x00"
@@ -48,8 +48,10 @@ _HEAD = struct.Struct("<8sIIQQQ")
 
 #: White space, a space, white space: there a run of white space may be one pre-token.
 _INNER_SPACE = re.compile(r"\s \s")
-#: Letters after at most one space, then marks.
-_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
+#: Letters below U+0250, whose bytes the tokenizer shows as plain characters.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+#: ASCII marks but the apostrophe, which may begin a pre-token with letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -61,9 +63,7 @@ class WordCache:
 
     The tokenizer cuts a text before it merges, and always cuts before a space that does not stand inside
     a longer run of white space. Pieces between such spaces are therefore encoded on their own, and each
-    distinct piece only once while it is remembered. Texts with longer runs go to the tokenizer whole. It
-    also cuts around a line feed between other characters, and between letters and a mark: pieces made of
-    such parts alone go part by part to the tokenizer's merges, all others through its every step.
+    distinct piece only once while it is remembered. Texts with longer runs go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -74,42 +74,26 @@ class WordCache:
         if self.tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError(f"ids do not fit in {BITS} bits")
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.merges = self.tokenizer.model.tokenize
-        # The characters that stand for bytes, as the tokenizer itself shows them; each part here is a character below U+0250.
+        merges = self.tokenizer.model.tokenize
+        # The characters that stand for bytes, as the tokenizer itself shows them.
         one = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: one.pre_tokenize_str(chr(i))[0][0] for i in range(0x250)}
-        self.feed = self._whole("\n")
+        self.merged = lambda shown: array("H", [t.id for t in merges(shown)]).tobytes()
+        self.feed = self.whole("\n")
         self.known = _Pieces(self, "")
         self.spaced = _Pieces(self, " ")  # by what follows the space
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        """The ids of letters with at most one space before them, or of marks."""
-        if (found := self.known.get(part)) is None:
-            shown = part.replace(" ", self.shown[32]) if part.isascii() else part.translate(self.shown)
-            found = self.known[part] = array("H", [t.id for t in self.merges(shown)]).tobytes()
-        return found
-
-    def piece(self, piece: str) -> bytes:
-        if (simple := _SIMPLE(piece)) is not None:
-            word, marks = simple.groups()
-            return self._part(word) + self._part(marks) if marks else self._part(word)
-        lines = [_SIMPLE(x) for x in piece.split("\n")]
-        if not all(lines):
-            return self._whole(piece)
-        return self.feed.join([self._part(x[1]) + self._part(x[2]) if x[2] else self._part(x[1]) for x in lines])
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
         for table in (self.known, self.spaced):
-            if len(table) >= REMEMBERED:
-                table.clear()
+            table.age()
         out, ids = [], self.spaced.__getitem__
         for text in texts:
             if _INNER_SPACE.search(text):
-                out.append(self._whole(text))
+                out.append(self.whole(text))
                 continue
             head, *rest = text.split(" ")
             out.append(b"".join([self.known[head] if head else b"", *map(ids, rest)]))
@@ -117,18 +101,46 @@ class WordCache:
 
 
 class _Pieces(dict):
-    """The ids of pieces by what follows ``before``; a piece that is missing is encoded, and remembered unless it is long."""
+    """The ids of pieces by what follows ``before``; a piece that is missing is encoded, and remembered unless it is long.
+
+    The tokenizer also cuts around a line feed between other characters, between a letter or digit and a mark,
+    and not within letters, digits or marks alone: such parts go to its merges one by one, all other pieces
+    through its every step. Pieces that were not met while many others came are forgotten.
+    """
 
     def __init__(self, words: WordCache, before: str):
         super().__init__()
-        self.words, self.before = words, before
+        self.words, self.before, self.shown, self.old = words, before, words.shown[32] if before else "", {}
+
+    def age(self) -> None:
+        if len(self) >= REMEMBERED:
+            self.old = self.copy()
+            self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.words.piece(self.before + piece)
+        if (found := self.old.get(piece)) is None:
+            found = self._encoded(piece)
         if len(piece) <= LONGEST_REMEMBERED:
             self[piece] = found
         return found
 
+    def _encoded(self, piece: str) -> bytes:
+        words = self.words
+        if piece.isascii():
+            if piece.isalpha() or piece.isdigit():
+                return words.merged(self.shown + piece)
+        elif _LETTERS(piece):
+            return words.merged(self.shown + piece.translate(words.shown))
+        word = piece.rstrip(_MARKS)
+        if not word and piece:
+            return words.merged(self.shown + piece)
+        if len(word) < len(piece):
+            return self[word] + words.known[piece[len(word) :]] if word[-1].isalnum() else words.whole(self.before + piece)
+        first, *lines = piece.split("\n")
+        if lines and all(x and not x[0].isspace() and not x[-1].isspace() for x in (first, *lines)):
+            return words.feed.join([self[first], *map(words.known.__getitem__, lines)])
+        return words.whole(self.before + piece)
+
 
 @cache
 def word_cache(path: str) -> WordCache:
@@ -149,7 +161,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, bits:
         ranks.append(np.concatenate(([0], np.cumsum(ones)[:-1])).astype("<u8"))
         zeros.append(n - int(ones.sum()))
         blocks += [press.compress(x) for x in pieces]
-        level = np.concatenate((level.take(np.flatnonzero(~bit)), level.take(np.flatnonzero(bit))))
+        level = np.concatenate((np.compress(~bit, level), np.compress(bit, level)))
     ends = np.concatenate(([0], np.cumsum([len(x) for x in blocks]))).astype("<u8")
     return b"".join([
         _HEAD.pack(MAGIC, bits, 0, len(doc_ids), n, block),
@@ -266,9 +278,14 @@ class Shard:
             cuts = self.ends[plane * self.per_plane : (plane + 1) * self.per_plane + 1] - self.ends[plane * self.per_plane]
             packed = b"".join(self.plain.decompress(raw[a:b], max_output_size=self.block // 8) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             bit = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n, bitorder="little").view(bool)
-            above = np.empty_like(level)
-            above[np.flatnonzero(~bit)] = level[: self.zeros[plane]]
-            above[np.flatnonzero(bit)] = level[self.zeros[plane] :] | (1 << (self.bits - 1 - plane))
+            above, zero, one = np.empty_like(level), 0, self.zeros[plane]
+            level[one:] |= level.dtype.type(1 << (self.bits - 1 - plane))
+            for lo in range(0, self.n, 1 << 16):  # a part that stays in the processor's cache
+                here, part = bit[lo : lo + (1 << 16)], above[lo : lo + (1 << 16)]
+                ones = np.flatnonzero(here)
+                part[ones] = level[one : one + len(ones)]
+                part[np.flatnonzero(~here)] = level[zero : zero + len(here) - len(ones)]
+                zero, one = zero + len(here) - len(ones), one + len(ones)
             level = above
         return level
 
