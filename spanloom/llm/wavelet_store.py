@@ -19,6 +19,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -80,6 +81,7 @@ class WordCache:
         self.shown = {i: one.pre_tokenize_str(chr(i))[0][0] for i in range(0x250)}
         self.merged = lambda shown: array("H", [t.id for t in merges(shown)]).tobytes()
         self.feed = self.whole("\n")
+        self.odd = False  # whether a piece met lately was empty, or began or ended with white space
         self.known = _Pieces(self, "")
         self.spaced = _Pieces(self, " ")  # by what follows the space
 
@@ -92,11 +94,10 @@ class WordCache:
             table.age()
         out, ids = [], self.spaced.__getitem__
         for text in texts:
-            if _INNER_SPACE.search(text):
-                out.append(self.whole(text))
-                continue
-            head, *rest = text.split(" ")
-            out.append(b"".join([self.known[head] if head else b"", *map(ids, rest)]))
+            self.odd = False
+            pieces = text.split(" ")
+            found = (self.known[pieces[0]] if pieces[0] else b"") + b"".join(map(ids, islice(pieces, 1, None)))
+            out.append(self.whole(text) if self.odd and _INNER_SPACE.search(text) else found)
         return out
 
 
@@ -118,6 +119,9 @@ class _Pieces(dict):
             self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():  # not remembered, so that each text is told
+            self.words.odd = True
+            return self._encoded(piece)
         if (found := self.old.get(piece)) is None:
             found = self._encoded(piece)
         if len(piece) <= LONGEST_REMEMBERED:
