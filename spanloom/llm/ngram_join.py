@@ -2,13 +2,17 @@
 
 Texts with equal n-gram sets are one entity. Two sets can only reach the threshold if they share an n-gram
 among their rarest ones, so each entity brings that prefix of its set alone. Within the entities of one
-prefix n-gram, pairs are pruned by length, by position and by a suffix bound (how the sets spread over
-ranges of hashes), and what remains is verified on the whole sets, once a pair.
+prefix n-gram, pairs are pruned by length, by position and by a suffix filter (how what follows the common n-gram
+in both sets spreads over ranges of hashes), and what remains is verified on the whole sets, once a pair.
 
 Groups of one n-gram are never expanded into all pairs. The first round compares a group's first
-entity with the others, later ones some more; entities that are linked by then need no comparison. Those that led leave the group, and
-rounds go on until every group is one component or, where few are left in it, their pairs across
-components are compared at once, pruned inside the join. So no link that could join two components is lost.
+entity with the others, each later one about twice as many as the one before; entities that are linked by then need
+no comparison. Those that led leave the group, and rounds go on until every group is one component or, where
+few are left in it, their pairs across components are compared at once, pruned inside the join. So no link that
+could join two components is lost, and rounds are as many as a group's size has bits, at most.
+
+N-grams are compared by 64-bit hashes: two sets are misjudged only if different n-grams of the two share one,
+with a chance under n * m / 2 ** 64 for n and m n-grams.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ _SLABS = 256
 RANGES = 16
 #: Groups of at most so many remaining entities compare all their pairs across components at once.
 FEW = 256
-#: About so many entities of a larger group are compared with all others in a round.
+#: About so many entities of a larger group are compared with all others in the second round, twice as many in each later one.
 LEADERS = 16
 #: Sets wanted for verification are picked by broadcast up to this number (16 bytes each), else by shuffle.
 BROADCAST_SETS = 500_000
@@ -223,25 +227,38 @@ def _passes(percent: int) -> Column:
     return length & _enough(F.least(n - i, m - j), n, m, percent)
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by token, whose token another row has too; the last row of a batch waits for the next one."""
+    held, passes = None, False
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [held, batch])
+        token = table["token"].to_numpy()
+        keep = np.zeros(len(token), bool)
+        keep[1:] = token[1:] == token[:-1]
+        keep[:-1] |= keep[1:]
+        if len(token):
+            keep[0] |= passes
+            yield from table.slice(0, len(token) - 1).filter(pa.array(keep[:-1])).to_batches()
+            held, passes = table.slice(len(token) - 1).combine_chunks().to_batches()[0], bool(keep[-1])
+    if passes:
+        yield held
+
+
 def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent: int = PERCENT, few: int = FEW, broadcast_sets: int = BROADCAST_SETS, words: int = WORDS) -> DataFrame:
-    """eid, label of the entities with a link; entities: eid, sig, n, spread, prefix."""
-    tokens = entities.select("eid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    tokens = ws.table(tokens.select("token", "eid", "n", "pos"), "tokens")
-    # An n-gram of one entity links nothing: partial minima and maxima fold a hot one inside each task.
-    shared = ws.table(tokens.groupBy("token").agg(F.min("eid").alias("low"), F.max("eid").alias("high")).where("low < high").select("token"), "shared")
-    hits = ws.table(tokens.join(shared, "token").select("token", "eid", "n", "pos"), "hits")
-    ws.drop("tokens")
+    """eid, label of the entities with a link; entities: eid, sig, key, n, spread, prefix."""
+    tokens = entities.select("eid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).select("token", "eid", "n", "pos")
+    # An n-gram of one entity links nothing. One shuffle finds the others; a hot one's rows stream through their task.
+    hits = ws.table(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, eid long, n int, pos int"), "hits")
     # New numbers, by how many prefix n-grams an entity has for itself: the least altered copies come first
     # and lead, as most others are near to them.
-    own = hits.groupBy("eid").agg(F.count(F.lit(1)).alias("hits")).join(entities.select("eid", "key", "n", "spread", F.size("prefix").alias("size")), "eid")
-    number = F.shiftleft(F.least(F.col("size") - F.col("hits"), F.lit(1023)).cast("long"), 53).bitwiseOR(F.col("eid"))
-    numbered = ws.table(own.select(F.col("eid").alias("was"), number.alias("eid"), "key", "n", "spread"), "numbered")
-    groups = hits.withColumnRenamed("eid", "was").join(numbered.select("was", "eid"), "was").select("token", "eid", "n", "pos")
-    groups = ws.table(groups, "grouped")
-    leads = ws.table(groups.groupBy("token").agg(F.min("eid").alias("lead")), "leads")
-    groups = ws.table(groups.join(leads, "token").select("token", "lead", "eid", "n", "pos"), "groups-0")
+    own = hits.groupBy("eid").agg(F.count(F.lit(1)).alias("hits")).join(entities.select("eid", "key", "n", "spread", "prefix"), "eid")
+    number = F.shiftleft(F.least(F.size("prefix") - F.col("hits"), F.lit(1023)).cast("long"), 53).bitwiseOR(F.col("eid"))
+    entities = ws.table(own.select(F.col("eid").alias("was"), number.alias("eid"), "key", "n", "spread", "prefix"), "numbered")
+    groups = ws.table(hits.withColumnRenamed("eid", "was").join(entities.select("was", "eid"), "was").select("token", "eid", "n", "pos"), "grouped")
     ws.drop("hits")
-    entities = numbered.select("eid", "key", "n", "spread")
+    leads = groups.groupBy("token").agg(F.min("eid").alias("lead"))
+    groups = ws.table(groups.join(leads, "token").select("token", "lead", "eid", "n", "pos"), "groups")
+    ws.drop("grouped")
     labels = entities.sparkSession.createDataFrame([], "node long, label long")
     groups = groups.withColumns({"small": F.lit(False), "leads": F.col("eid") == F.col("lead"), "label": F.col("eid")})
     links = compared = None
@@ -252,54 +269,69 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
         within = groups.where("small").join(groups.where("small").select("token", *other), "token").where((F.col("a") < F.col("eid")) & across)
         stars = groups.where("NOT small").join(groups.where("NOT small AND leads").select("token", *other), "token").where((~F.col("leads") | (F.col("a") < F.col("eid"))) & across)
         pairs = stars.unionByName(within) if step else stars
-        pairs = pairs.select(F.least("a", "eid").alias("a"), F.greatest("a", "eid").alias("b")).distinct()
+        # Where a pair meets several times, the first of its common n-grams leaves most to follow.
+        turned = F.col("a") > F.col("eid")
+        places = F.struct(F.when(turned, F.col("pos")).otherwise(F.col("at")).alias("i"), F.when(turned, F.col("at")).otherwise(F.col("pos")).alias("j"))
+        pairs = pairs.groupBy(F.least("a", "eid").alias("a"), F.greatest("a", "eid").alias("b")).agg(F.min(places).alias("places"))
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = ws.table(pairs, f"pairs-{step}")
-        found = _verified(docs, entities, pairs, ws, step, percent, broadcast_sets, words)
-        compared = pairs if compared is None else compared.unionByName(pairs)
+        pairs = ws.table(_likely(entities, ws.table(pairs, "matched"), percent), f"pairs-{step}")
+        found = _verified(docs, entities, pairs, ws, percent, broadcast_sets, words)
+        ws.drop("matched", "wanted", "sets")
+        compared = pairs.select("a", "b") if compared is None else compared.unionByName(pairs.select("a", "b"))
         if found is not None:
             links = found if links is None else links.unionByName(found)
             labels = connected_components(links, ws, f"components-{step}")
         # What is left: groups without those that led, where they still hold several components.
         left = groups.where("NOT small AND NOT leads").select("token", "eid", "n", "pos")
         left = left.join(labels.withColumnRenamed("node", "eid"), "eid", "left").withColumn("label", F.coalesce("label", "eid"))
-        left = ws.table(left, f"left-{step}")
+        left = ws.table(left, "left")
+        ws.drop("groups")
         parts = left.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.min("eid").alias("lead"))
         sums = [F.min("lead").alias("lead"), F.sum("n").alias("rows"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")]
         mixed = parts.groupBy("token").agg(*sums).where("labels > 1")
-        mixed = ws.table(mixed.select("token", "lead", "rows", F.col("most.label").alias("major"), (F.col("rows") - F.col("most.n")).alias("others")), f"mixed-{step}")
+        mixed = ws.table(mixed.select("token", "lead", "rows", F.col("most.label").alias("major"), (F.col("rows") - F.col("most.n")).alias("others")), "mixed")
         if mixed.isEmpty():
-            return numbered.join(labels, numbered["eid"] == labels["node"]).select(F.col("was").alias("eid"), "label")
-        step += 1
+            ws.drop("left", "mixed")
+            return entities.join(labels, entities["eid"] == labels["node"]).select(F.col("was").alias("eid"), "label")
         # Those that lead next: all outside the group's largest component where they are few, so that the
-        # group is done; else the first entity, and about LEADERS more by a hash that changes with the round.
-        drawn = (F.col("eid") == F.col("lead")) | (F.pmod(F.xxhash64("eid", F.lit(step)), F.greatest(F.col("rows") / LEADERS, F.lit(1)).cast("long")) == 0)
-        leads = F.when(F.col("others") <= 2 * LEADERS, F.col("label") != F.col("major")).otherwise(drawn)
+        # group is done; else the first entity, and more by a hash that changes with the round, twice as many each time.
+        more = LEADERS << step
+        step += 1
+        drawn = (F.col("eid") == F.col("lead")) | (F.pmod(F.xxhash64("eid", F.lit(step)), F.greatest(F.col("rows") / more, F.lit(1)).cast("long")) == 0)
+        leads = F.when(F.col("others") <= 2 * more, F.col("label") != F.col("major")).otherwise(drawn)
         groups = left.join(mixed, "token").select("token", "eid", "n", "pos", "label", (F.col("rows") <= few).alias("small"), leads.alias("leads"))
-        groups = ws.table(groups, f"groups-{step}")
+        groups = ws.table(groups, "groups")
+        ws.drop("left", "mixed")
+
+
+def _likely(entities: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b, n, m of the pairs that pass the suffix filter: if the n-gram they met by is the first that they share, can enough follow?
+
+    What follows it in a set is the set without its prefix up to there; ranges of hashes bound what two of them share.
+    A pair whose first common n-gram is another one passes or falls where it meets by that one.
+    """
+    brief = entities.select("eid", "n", "spread", "prefix")
+    rest = lambda pos: F.aggregate(F.slice("prefix", F.lit(1), pos + 1), F.col("spread"), lambda acc, t: F.transform(acc, lambda v, r: v - (r == F.pmod(t, F.lit(RANGES))).cast("int")))
+    left = pairs.join(brief.withColumnRenamed("eid", "a"), "a").select("a", "b", "places", F.col("n").cast("int").alias("n"), rest(F.col("places.i")).alias("after"))
+    both = left.join(brief.select(F.col("eid").alias("b"), F.col("n").cast("int").alias("m"), "spread", "prefix"), "b")
+    both = both.select("a", "b", "n", "m", "after", rest(F.col("places.j")).alias("other"))
+    bound = F.aggregate(F.zip_with("after", "other", lambda x, y: F.least(x, y)), F.lit(1), lambda acc, x: acc + x)
+    return both.where(_enough(bound, F.col("n"), F.col("m"), percent)).select("a", "b", "n", "m")
 
 
-def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Workspace, step: int, percent: int, broadcast_sets: int, words: int) -> DataFrame | None:
+def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Workspace, percent: int, broadcast_sets: int, words: int) -> DataFrame | None:
     """The pairs a, b whose whole sets reach the threshold; None where there are none."""
-    brief = entities.select("eid", "n", "spread")
-    left = brief.select(F.col("eid").alias("a"), "n", "spread")
-    right = brief.select(F.col("eid").alias("b"), F.col("n").alias("m"), F.col("spread").alias("other"))
-    bound = F.aggregate(F.zip_with("spread", "other", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    likely = pairs.join(left, "a").join(right, "b").where(_enough(bound, F.col("n"), F.col("m"), percent))
-    likely = ws.table(likely.select("a", "b", "n", "m"), f"likely-{step}")
-    if likely.isEmpty():
+    if pairs.isEmpty():
         return None
-    wanted = likely.select(F.col("a").alias("eid")).unionByName(likely.select(F.col("b").alias("eid"))).distinct()
-    wanted = ws.table(wanted.join(entities.select("eid", "key"), "eid"), f"wanted-{step}")
+    wanted = pairs.select(F.col("a").alias("eid")).unionByName(pairs.select(F.col("b").alias("eid"))).distinct()
+    wanted = ws.table(wanted.join(entities.select("eid", "key"), "eid"), "wanted")
     pick = F.broadcast(wanted) if wanted.count() <= broadcast_sets else wanted
     # Only texts that are wanted reach Python, each once; copies fold inside each task.
     texts = docs.select("text", text_key(F.col("text")).alias("key")).join(pick, "key").groupBy("eid").agg(F.first("text").alias("text"))
-    sets = ws.table(_sets(texts, words), f"sets-{step}")
-    both = likely.join(sets.select(F.col("eid").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("eid").alias("b"), F.col("grams").alias("y")), "b")
-    found = both.where(_enough(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"), percent)).select("a", "b")
-    found = ws.table(found, f"links-{step}")
-    ws.drop(f"sets-{step}")
+    sets = ws.table(_sets(texts, words), "sets")
+    both = pairs.join(sets.select(F.col("eid").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("eid").alias("b"), F.col("grams").alias("y")), "b")
+    found = ws.table(both.where(_enough(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"), percent)).select("a", "b"), "links")
     return None if found.isEmpty() else found
 
 
