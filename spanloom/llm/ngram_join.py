@@ -46,6 +46,8 @@ LEADERS = 16
 #: Sets wanted for verification are picked by broadcast up to this number (16 bytes each), else by shuffle.
 BROADCAST_SETS = 500_000
 
+#: Bits of an entity's first number.
+_LOW = 53
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -206,13 +208,40 @@ def _prefixes(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """eid, grams of texts with their entity."""
+    """a, b, n, m, grams: the set of each text that a pair asks for; rows of one text stand side by side, so that its set is made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _texts(batches, 1, words):
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["eid", "grams"])
+        last, grams = None, None
+        for batch in batches:
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                eids, texts, found = part.column(0).to_pylist(), part.column(1), []
+                for i, eid in enumerate(eids):
+                    if eid != last:
+                        last, grams = eid, shingle_sets([texts[i].as_py()], words)[0].view(np.int64)
+                    found.append(grams)
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(found, pa.list_(pa.int64()))], names=[*part.schema.names[2:], "grams"])
 
-    return texts.select("eid", "text").mapInArrow(run, "eid long, grams array<long>")
+    return texts.select("eid", "text", "a", "b", "n", "m").mapInArrow(run, "a long, b long, n int, m int, grams array<long>")
+
+
+def _agree(percent: int):
+    """Of rows sorted by pair, two a pair: the pairs whose sets share enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            out = []
+            for i, (a, b, n, m) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                grams = batch.column(4)[i].values.to_numpy()
+                if held is not None and held[0] == (a, b):
+                    if (100 + percent) * len(np.intersect1d(held[1].view(np.uint64), grams.view(np.uint64), assume_unique=True)) >= percent * (n + m):
+                        out.append((a, b))
+                    held = None
+                else:
+                    held = ((a, b), grams)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return run
 
 
 def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
@@ -250,12 +279,15 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
     # An n-gram of one entity links nothing. One shuffle finds the others; a hot one's rows stream through their task.
     hits = ws.table(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, eid long, n int, pos int"), "hits")
     # New numbers, by how many prefix n-grams an entity has for itself: the least altered copies come first
-    # and lead, as most others are near to them.
-    own = hits.groupBy("eid").agg(F.count(F.lit(1)).alias("hits")).join(entities.select("eid", "key", "n", "spread", "prefix"), "eid")
-    number = F.shiftleft(F.least(F.size("prefix") - F.col("hits"), F.lit(1023)).cast("long"), 53).bitwiseOR(F.col("eid"))
-    entities = ws.table(own.select(F.col("eid").alias("was"), number.alias("eid"), "key", "n", "spread", "prefix"), "numbered")
-    groups = ws.table(hits.withColumnRenamed("eid", "was").join(entities.select("was", "eid"), "was").select("token", "eid", "n", "pos"), "grouped")
-    ws.drop("hits")
+    # and lead, as most others are near to them. The low bits stay the old number.
+    own = ws.table(hits.groupBy("eid").agg(F.count(F.lit(1)).alias("hits")), "own")
+    small = own.count() <= broadcast_sets
+    number = F.shiftleft(F.least(F.size("prefix") - F.col("hits"), F.lit(1023)).cast("long"), _LOW).bitwiseOR(F.col("eid"))
+    numbered = entities.select("eid", "key", "prefix").join(F.broadcast(own) if small else own, "eid")
+    numbered = ws.table(numbered.select(F.col("eid").alias("was"), number.alias("eid"), "key"), "numbered")
+    names = numbered.select("was", "eid")
+    groups = ws.table(hits.withColumnRenamed("eid", "was").join(F.broadcast(names) if small else names, "was").select("token", "eid", "n", "pos"), "grouped")
+    ws.drop("hits", "own")
     leads = groups.groupBy("token").agg(F.min("eid").alias("lead"))
     groups = ws.table(groups.join(leads, "token").select("token", "lead", "eid", "n", "pos"), "groups")
     ws.drop("grouped")
@@ -275,9 +307,9 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
         pairs = pairs.groupBy(F.least("a", "eid").alias("a"), F.greatest("a", "eid").alias("b")).agg(F.min(places).alias("places"))
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = ws.table(_likely(entities, ws.table(pairs, "matched"), percent), f"pairs-{step}")
-        found = _verified(docs, entities, pairs, ws, percent, broadcast_sets, words)
-        ws.drop("matched", "wanted", "sets")
+        pairs = ws.table(_likely(entities, ws.table(pairs, "matched"), ws, percent, broadcast_sets), f"pairs-{step}")
+        found = _verified(docs, numbered, pairs, ws, step, percent, broadcast_sets, words)
+        ws.drop("matched", "ids", "brief", "wanted")
         compared = pairs.select("a", "b") if compared is None else compared.unionByName(pairs.select("a", "b"))
         if found is not None:
             links = found if links is None else links.unionByName(found)
@@ -293,7 +325,7 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
         mixed = ws.table(mixed.select("token", "lead", "rows", F.col("most.label").alias("major"), (F.col("rows") - F.col("most.n")).alias("others")), "mixed")
         if mixed.isEmpty():
             ws.drop("left", "mixed")
-            return entities.join(labels, entities["eid"] == labels["node"]).select(F.col("was").alias("eid"), "label")
+            return labels.select(F.col("node").bitwiseAND(F.lit((1 << _LOW) - 1)).alias("eid"), "label")
         # Those that lead next: all outside the group's largest component where they are few, so that the
         # group is done; else the first entity, and more by a hash that changes with the round, twice as many each time.
         more = LEADERS << step
@@ -305,33 +337,40 @@ def link_entities(docs: DataFrame, entities: DataFrame, ws: Workspace, percent:
         ws.drop("left", "mixed")
 
 
-def _likely(entities: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _ids(pairs: DataFrame, ws: Workspace, broadcast_sets: int) -> DataFrame:
+    """eid of all entities of the pairs; broadcast where they are few."""
+    ids = ws.table(pairs.select(F.col("a").alias("eid")).unionByName(pairs.select(F.col("b").alias("eid"))).distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= broadcast_sets else ids
+
+
+def _likely(entities: DataFrame, pairs: DataFrame, ws: Workspace, percent: int, broadcast_sets: int) -> DataFrame:
     """a, b, n, m of the pairs that pass the suffix filter: if the n-gram they met by is the first that they share, can enough follow?
 
     What follows it in a set is the set without its prefix up to there; ranges of hashes bound what two of them share.
     A pair whose first common n-gram is another one passes or falls where it meets by that one.
     """
-    brief = entities.select("eid", "n", "spread", "prefix")
+    ids = _ids(pairs, ws, broadcast_sets)
+    few = entities.select(F.col("eid").alias("was"), F.col("n").cast("int").alias("n"), "spread", "prefix")
+    brief = ws.table(few.join(ids, F.col("was") == F.col("eid").bitwiseAND(F.lit((1 << _LOW) - 1))).drop("was"), "brief")
     rest = lambda pos: F.aggregate(F.slice("prefix", F.lit(1), pos + 1), F.col("spread"), lambda acc, t: F.transform(acc, lambda v, r: v - (r == F.pmod(t, F.lit(RANGES))).cast("int")))
-    left = pairs.join(brief.withColumnRenamed("eid", "a"), "a").select("a", "b", "places", F.col("n").cast("int").alias("n"), rest(F.col("places.i")).alias("after"))
-    both = left.join(brief.select(F.col("eid").alias("b"), F.col("n").cast("int").alias("m"), "spread", "prefix"), "b")
+    left = pairs.join(brief.withColumnRenamed("eid", "a"), "a").select("a", "b", "places", "n", rest(F.col("places.i")).alias("after"))
+    both = left.join(brief.select(F.col("eid").alias("b"), F.col("n").alias("m"), "spread", "prefix"), "b")
     both = both.select("a", "b", "n", "m", "after", rest(F.col("places.j")).alias("other"))
     bound = F.aggregate(F.zip_with("after", "other", lambda x, y: F.least(x, y)), F.lit(1), lambda acc, x: acc + x)
     return both.where(_enough(bound, F.col("n"), F.col("m"), percent)).select("a", "b", "n", "m")
 
 
-def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, ws: Workspace, percent: int, broadcast_sets: int, words: int) -> DataFrame | None:
+def _verified(docs: DataFrame, numbered: DataFrame, pairs: DataFrame, ws: Workspace, step: int, percent: int, broadcast_sets: int, words: int) -> DataFrame | None:
     """The pairs a, b whose whole sets reach the threshold; None where there are none."""
     if pairs.isEmpty():
         return None
-    wanted = pairs.select(F.col("a").alias("eid")).unionByName(pairs.select(F.col("b").alias("eid"))).distinct()
-    wanted = ws.table(wanted.join(entities.select("eid", "key"), "eid"), "wanted")
+    wanted = ws.table(numbered.select("eid", "key").join(_ids(pairs, ws, broadcast_sets), "eid"), "wanted")
     pick = F.broadcast(wanted) if wanted.count() <= broadcast_sets else wanted
-    # Only texts that are wanted reach Python, each once; copies fold inside each task.
+    # Only texts that are wanted leave their tasks, each once; copies fold inside each task.
     texts = docs.select("text", text_key(F.col("text")).alias("key")).join(pick, "key").groupBy("eid").agg(F.first("text").alias("text"))
-    sets = ws.table(_sets(texts, words), "sets")
-    both = pairs.join(sets.select(F.col("eid").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("eid").alias("b"), F.col("grams").alias("y")), "b")
-    found = ws.table(both.where(_enough(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"), percent)).select("a", "b"), "links")
+    sides = pairs.select(F.col("a").alias("eid"), "a", "b", "n", "m").unionByName(pairs.select(F.col("b").alias("eid"), "a", "b", "n", "m"))
+    sets = _sets(texts.join(sides.hint("shuffle_merge"), "eid"), words).repartition("a", "b").sortWithinPartitions("a", "b")
+    found = ws.table(sets.mapInArrow(_agree(percent), "a long, b long"), f"links-{step}")
     return None if found.isEmpty() else found
 
 
