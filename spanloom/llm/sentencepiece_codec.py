@@ -32,8 +32,8 @@ QUERY = "op9_sentencepiece_codec"
 
 SPACE = "▁"
 #: Words that a worker remembers; the table starts anew beyond them.
-REMEMBERED_WORDS = 500_000
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_WORDS = 250_000
+REMEMBERED_PAIRS = 500_000
 #: Words beyond this length are not remembered.
 LONGEST_REMEMBERED = 64
 

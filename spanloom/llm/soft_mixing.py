@@ -70,15 +70,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, _BLANK), lambda x: x != "")
 
 
-def features(text: Column, tokens: Column) -> Column:
-    """64-bit hashes of lower-case words without what is not a letter, of ^ and the tokens' shapes, and of ~ and each tenth up to six that the share of distinct tokens is below."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
-    shapes = F.split(F.regexp_replace(F.regexp_replace(text, r"[\p{L}\p{M}]+", "a"), r"\p{N}+", "0"), _BLANK)
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
+def _shapes(text: Column) -> Column:
+    return F.split(F.regexp_replace(F.regexp_replace(text, r"[\p{L}\p{M}]+", "a"), r"\p{N}+", "0"), _BLANK)
+
+
+def _tenths(tokens: Column, distinct: Column) -> Column:
     n = F.size(tokens)
-    below = (F.floor(10 * F.size(F.array_distinct(tokens)) / n) + 1).cast("int")
-    share = F.when((n > 0) & (10 * F.size(F.array_distinct(tokens)) < 6 * n), F.transform(F.sequence(below, F.lit(6)), lambda x: F.xxhash64(F.lit("~"), x))).otherwise(F.array().cast("array<bigint>"))
-    hashed = [F.transform(F.array_remove(words, ""), lambda x: F.xxhash64(x)), F.transform(F.array_remove(shapes, ""), lambda x: F.xxhash64(F.lit("^"), x)), share]
-    return F.concat(*hashed)
+    below = (F.floor(10 * distinct / n) + 1).cast("int")
+    return F.when((n > 0) & (10 * distinct < 6 * n), F.transform(F.sequence(below, F.lit(6)), lambda x: F.concat(F.lit("~"), x))).otherwise(F.array().cast("array<string>"))
+
+
+def features(text: Column, tokens: Column) -> Column:
+    """Lower-case words without what is not a letter; after ^ the tokens' shapes; after ~ each tenth up to six that the share of distinct tokens is below."""
+    marked = F.transform(F.array_remove(_shapes(text), ""), lambda x: F.concat(F.lit("^"), x))
+    return F.array_distinct(F.concat(F.array_remove(_words(text), ""), marked, _tenths(tokens, F.size(F.array_distinct(tokens)))))
 
 
 # ---- the classifier ----
@@ -86,12 +95,13 @@ def features(text: Column, tokens: Column) -> Column:
 
 @dataclass
 class Split:
-    """One level of the paths below ``parent``: its parts, their log weights without any feature, and each feature's log weights."""
+    """One level of the paths below ``parent``: its parts, their log weights without any feature, and each feature's log weights and hash."""
 
     parent: str
     parts: list[str]
     priors: list[float]
-    weights: dict[int, list[float]]
+    weights: dict[str, list[float]]
+    hashes: dict[str, int]
 
 
 def _splits(domains: list[str]) -> list[tuple[str, list[str]]]:
@@ -114,7 +124,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspace)
     chosen = labelled.where(F.col("domain").isin(domains)).select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(LABELLED)
     # At most LABELLED rows of two short columns.
     known = docs.where("doc_id IS NOT NULL").join(F.broadcast(ws.table(chosen, "chosen")), "doc_id").select("domain", F.coalesce("text", F.lit("")).alias("text"))
-    known = known.select("domain", "text", tokens(F.col("text")).alias("tokens")).select("domain", F.array_distinct(features(F.col("text"), F.col("tokens"))).alias("features"))
+    known = known.select("domain", "text", tokens(F.col("text")).alias("tokens")).select("domain", features(F.col("text"), F.col("tokens")).alias("features"))
     known = ws.table(known, "known")
     count = [F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(domains)]
     row = known.agg(*count).first()
@@ -130,7 +140,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspace)
         level = min(parent.count("/") + bool(parent), len(FLOORS) - 1)
         picked = _telling(table.select("feature", *[x.cast("double").alias(f"c_{i}") for i, x in enumerate(n)]), size, FLOORS[level], LIFTS[level])
         rows = picked.collect()  # features of LABELLED documents at most
-        c = np.array([r[1:] for r in rows], float).reshape(len(rows), len(parts))
+        c = np.array([r[2:] for r in rows], float).reshape(len(rows), len(parts))
         here = c.sum(1, keepdims=True)
         # A part's rate of a feature is drawn towards the overall one, as if two more documents had it.
         rates = np.minimum((c + 2 * here / max(total, 1.0)) / (np.array(size) + 2), 0.999)
@@ -139,7 +149,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], ws: Workspace)
         else:
             weights = np.log(rates / (1 - rates))
             priors = (np.array(priors) + np.log(1 - rates).sum(0)).tolist()
-        out.append(Split(parent, parts, priors, {r[0]: w for r, w in zip(rows, weights.tolist(), strict=True)}))
+        out.append(Split(parent, parts, priors, {r[0]: w for r, w in zip(rows, weights.tolist(), strict=True)}, {r[0]: r[1] for r in rows}))
     return out
 
 
@@ -154,7 +164,7 @@ def _telling(table: DataFrame, size: list[float], floor: float, lift: float) ->
         for seen, of in ((F.col(f"c_{i}"), here), (s - F.col(f"c_{i}"), total - here)):
             expected = of * (s / total)
             terms.append(F.when((seen > 0) & (expected > 0), 2 * seen * F.log(seen / expected)).otherwise(0.0))
-    return table.where(reduce(lambda a, b: a | b, pure)).where(_sum(terms) >= MIN_G).select("feature", *[f"c_{i}" for i in range(len(size))])
+    return table.where(reduce(lambda a, b: a | b, pure)).where(_sum(terms) >= MIN_G).select("feature", F.xxhash64("feature"), *[f"c_{i}" for i in range(len(size))])
 
 
 def _slots(keys: list[int]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -188,18 +198,23 @@ def _array(values: np.ndarray, kind: str) -> Column:
 
 def posteriors(text: Column, tokens: Column, splits: list[Split], domains: list[str]) -> tuple[Column, callable]:
     """(the document's telling features, a function from a column of those to the array of its domains' probabilities)."""
-    keys = sorted({k for s in splits for k in s.weights} | {1})
-    shift, moves, places = _slots(keys)
-    move, place = _array(moves, "bigint"), _array(places, "bigint")
+    hashes = {f: h for s in splits for f, h in s.hashes.items()}
+    shift, moves, places = _slots(sorted({*hashes.values(), 1}))
+    names = {h: f for f, h in hashes.items()}
+    move = _array(moves, "bigint")
     slot = lambda h: F.shiftrightunsigned(h, shift).bitwiseXOR(F.get(move, h.bitwiseAND(F.lit(len(moves) - 1)).cast("int"))).bitwiseAND(F.lit(len(places) - 1)).cast("int")
-    hits = F.array_distinct(F.transform(F.filter(features(text, tokens), lambda h: F.get(place, slot(h)) == h), slot))
+    # No feature holds a space.
+    known = lambda found, mark: F.array_intersect(found, F.split(F.lit(" ".join(sorted(f[len(mark) :] for f in hashes if f[0] == mark or not mark and f[0] not in "^~"))), " "))
+    marked = F.transform(F.array_remove(known(_shapes(text), "^"), ""), lambda x: F.concat(F.lit("^"), x))
+    shares = F.array_intersect(_tenths(tokens, F.size(F.array_distinct(tokens))), F.array(*[F.lit(f"~{i}") for i in range(7) if f"~{i}" in hashes]).cast("array<string>"))
+    hits = F.transform(F.concat(F.array_remove(known(_words(text), ""), ""), marked, shares), lambda x: slot(F.xxhash64(x)))
 
     def probabilities(hits: Column) -> Column:
         chance: dict[str, Column] = {}
         for split in splits:
             sums = []
             for i, prior in enumerate(split.priors):
-                table = _array(np.array([split.weights.get(int(k), (0.0,) * (i + 1))[i] for k in places]), "double")
+                table = _array(np.array([split.weights.get(names.get(k, ""), (0.0,) * (i + 1))[i] for k in places.tolist()]), "double")
                 sums.append(F.aggregate(hits, F.lit(prior), lambda acc, at: acc + F.get(table, at)))  # noqa: B023
             top = F.greatest(*sums) if len(sums) > 1 else sums[0]
             powers = [F.exp(s - top) for s in sums]
