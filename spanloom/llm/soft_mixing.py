@@ -43,7 +43,7 @@ PURITY, LIFTS = 0.7, (2.0, 1.2)
 #: and when its G statistic is beyond chance.
 MIN_G = 12.0
 #: Steps after which a fit that still moves is an error; misses of this share of the total are met.
-STEPS, TOLERANCE = 200, 1e-3
+STEPS, TOLERANCE = 200, 3e-3
 #: Rates this near a whole number count as that number when documents are drawn: no more than rounding errors.
 SNAP = 1e-6
 
