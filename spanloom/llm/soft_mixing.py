@@ -37,7 +37,7 @@ WHOLE = ("clean/en", "clean/de", "clean/fr", "clean/es")
 #: The classifier is fitted to at most so many labelled documents, those with the smallest id hashes.
 LABELLED = 20_000
 #: A feature counts when at least so many labelled documents hold it, and this share of one domain's at each level,
-MIN_FREQUENCY, FLOORS = 4, (0.015, 0.1)
+MIN_FREQUENCY, FLOORS = 4, (0.015, 0.25)
 #: when that domain has this share of those documents, and this many times its share of all at each level,
 PURITY, LIFTS = 0.7, (2.0, 1.2)
 #: and when its G statistic is beyond chance.
@@ -200,21 +200,22 @@ def posteriors(text: Column, tokens: Column, splits: list[Split], domains: list[
     """(the document's telling features, a function from a column of those to the array of its domains' probabilities)."""
     hashes = {f: h for s in splits for f, h in s.hashes.items()}
     shift, moves, places = _slots(sorted({*hashes.values(), 1}))
-    names = {h: f for f, h in hashes.items()}
-    move = _array(moves, "bigint")
+    names = sorted(hashes)
+    order = {hashes[f]: i for i, f in enumerate(names)}
+    move, index = _array(moves, "bigint"), _array(np.array([order.get(k, -1) for k in places.tolist()]), "int")
     slot = lambda h: F.shiftrightunsigned(h, shift).bitwiseXOR(F.get(move, h.bitwiseAND(F.lit(len(moves) - 1)).cast("int"))).bitwiseAND(F.lit(len(places) - 1)).cast("int")
     # No feature holds a space.
     known = lambda found, mark: F.array_intersect(found, F.split(F.lit(" ".join(sorted(f[len(mark) :] for f in hashes if f[0] == mark or not mark and f[0] not in "^~"))), " "))
     marked = F.transform(F.array_remove(known(_shapes(text), "^"), ""), lambda x: F.concat(F.lit("^"), x))
     shares = F.array_intersect(_tenths(tokens, F.size(F.array_distinct(tokens))), F.array(*[F.lit(f"~{i}") for i in range(7) if f"~{i}" in hashes]).cast("array<string>"))
-    hits = F.transform(F.concat(F.array_remove(known(_words(text), ""), ""), marked, shares), lambda x: slot(F.xxhash64(x)))
+    hits = F.transform(F.concat(F.array_remove(known(_words(text), ""), ""), marked, shares), lambda x: F.get(index, slot(F.xxhash64(x))))
 
     def probabilities(hits: Column) -> Column:
         chance: dict[str, Column] = {}
         for split in splits:
             sums = []
             for i, prior in enumerate(split.priors):
-                table = _array(np.array([split.weights.get(names.get(k, ""), (0.0,) * (i + 1))[i] for k in places.tolist()]), "double")
+                table = _array(np.array([split.weights[f][i] if f in split.weights else 0.0 for f in names] or [0.0]), "double")
                 sums.append(F.aggregate(hits, F.lit(prior), lambda acc, at: acc + F.get(table, at)))  # noqa: B023
             top = F.greatest(*sums) if len(sums) > 1 else sums[0]
             powers = [F.exp(s - top) for s in sums]
