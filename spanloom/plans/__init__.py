@@ -1,5 +1,5 @@
 """The query catalogue; importing it registers every module of queries."""
 
-from . import catalogue, edits, ledgers
+from . import catalogue, edits, ledgers, seams
 
-__all__ = ["catalogue", "edits", "ledgers"]
+__all__ = ["catalogue", "edits", "ledgers", "seams"]
