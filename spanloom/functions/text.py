@@ -6,12 +6,15 @@ import difflib
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 #: Shortest text that is compared, and the similarities from which rows repeat or retell each other.
 MIN_COMPARED = 8
+#: White space and punctuation.
+_NO_TEXT = regex.compile(r"[\s\x1c-\x1f\p{P}]+")
 REPEAT_SIMILARITY, STORY_SIMILARITY = 0.45, 0.92
 
 
@@ -19,8 +22,8 @@ def normalize_text(text: str | None, fold: bool = True) -> str | None:
     """NFKC without white space and punctuation, case-folded."""
     if text is None:
         return None
-    plain = "".join(c for c in unicodedata.normalize("NFKC", text) if not c.isspace() and unicodedata.category(c)[0] != "P")
-    return plain.casefold() if fold else plain
+    told = _NO_TEXT.sub("", unicodedata.normalize("NFKC", text))
+    return told.casefold() if fold else told
 
 
 @F.pandas_udf(StringType())

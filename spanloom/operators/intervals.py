@@ -7,6 +7,7 @@ parameters, as edits, captions and scoring each use their own.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,8 +76,19 @@ def intersections(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
 def subtract(regions: DataFrame, covers: DataFrame, keys: Sequence[str], width: int, eps: int = EPSILON_MS) -> DataFrame:
     """What the covers leave of each region (keys must name it), in pieces longer than ``eps``."""
     by = [c for c in regions.columns if c not in ("s", "e")]
-    cut = overlap_join(regions, covers, keys, width).select(*by, F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"))
-    return complement(cut, regions.select(*by, F.col("s").alias("lo"), F.col("e").alias("hi")), by, 0, eps)
+    # A cover takes from the pieces that the covers before it left, and only where it meets them by more than
+    # the tolerance; so the order counts where pieces are as short as that.
+    met = overlap_join(regions, covers.select(*keys, "s", "e"), keys, width, eps).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("s2", "e2"))).alias("_covers"))
+    none = F.array().cast("array<struct<s2:bigint,e2:bigint>>")
+    piece = lambda s, e: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"))
+    long = lambda p: p["e"] - p["s"] > eps
+    rest = lambda p, c: F.filter(F.array(piece(p["s"], c["s2"]), piece(c["e2"], p["e"])), long)
+    cut = lambda pieces, c: F.flatten(F.transform(pieces, lambda p: F.when(overlap(p["s"], p["e"], c["s2"], c["e2"]) > eps, rest(p, c)).otherwise(F.array(p))))
+    # Null-safe, so that regions with a null in a key stay.
+    left, right = regions.alias("_l"), met.alias("_r")
+    joined = left.join(right, reduce(lambda a, b: a & b, [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in by]), "left")
+    pieces = F.aggregate(F.coalesce(F.col("_r._covers"), none), F.array(piece(F.col("_l.s"), F.col("_l.e"))), cut)
+    return joined.select(*[F.col(f"_l.{c}") for c in by], F.explode(pieces).alias("_p")).select(*by, "_p.s", "_p.e")
 
 
 def semi(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, width: int, eps: int = EPSILON_MS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,10 @@ STORY_OVERLAP_PERCENT, NEAR_MS, NEAR_PERCENT = 50, 20_000, 15
 MIXED_MS, MIXED_PERCENT, SEGMENT_MS, DECISIVE_PERCENT = 10_000, 20, 240_000, 75
 
 
+#: Quotes that are compared with all rows at once.
+QUOTE_BLOCK = 10_000
+
+
 # ---- validators ----
 
 
@@ -62,9 +67,17 @@ def quote_violations(quotes: DataFrame, rows: DataFrame) -> DataFrame:
     return found.select("quote_id", "id", rule.alias("rule")).where("rule IS NOT NULL")
 
 
+def holding_rows(quotes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each row (text) with each quote that it holds. The quotes are a stated set: a block of them at a time goes to all rows."""
+    blocks = -(-quotes.count() // QUOTE_BLOCK)
+    parts = [quotes] if blocks < 2 else [quotes.where(F.pmod(F.xxhash64("quote"), F.lit(blocks)) == i) for i in range(blocks)]
+    hits = [rows.join(F.broadcast(part), F.contains("text", "quote")) for part in parts]
+    return reduce(DataFrame.unionByName, hits)
+
+
 def rebind_quotes(quotes: DataFrame, rows: DataFrame) -> DataFrame:
-    """quote_id, id where exactly one row holds the quote. The quotes are a stated set, joined to the rows in blocks."""
-    hits = rows.select("id", "text").join(F.broadcast(quotes.select("quote_id", "quote")), F.contains("text", "quote"))
+    """quote_id, id where exactly one row holds the quote."""
+    hits = holding_rows(quotes.select("quote_id", "quote"), rows.select("id", "text"))
     return hits.groupBy("quote_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").select("quote_id", "id")
 
 

@@ -6,6 +6,8 @@ Groups (a recording, a sample, a task) are bounded by what they describe; they r
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,22 +21,26 @@ CUE_CHARS, CUE_MS, CUE_GAP_MS = 36, 6_000, 800
 NMS_OVERLAP = 0.35
 
 
+def _sums(sizes: list[int]) -> list[int]:
+    """What all rows before each place take together."""
+    return [0, *accumulate(sizes)]
+
+
 def window_bounds(chars: list[int], starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """(first, end) of overlapping windows over rows in order: each takes at least a row and moves on by at least one."""
-    found, first, n = [], 0, len(chars)
-    while first < n:
-        end, size = first, 0
-        while end < n and (end == first or (size + chars[end] + ROW_CHARS <= WINDOW_CHARS and ends[end] - starts[first] <= WINDOW_MS)):
-            size += chars[end] + ROW_CHARS
-            end += 1
-        found.append((first, end))
-        if end >= n:
-            break
-        back = end
-        while back > first + 1 and ends[end - 1] - starts[back - 1] <= WINDOW_OVERLAP_MS:
-            back -= 1
-        first = back if back < end else end
-    return found
+    """(first, end) of overlapping windows over rows in order of their starts.
+
+    A window takes the rows whose characters and time fit, one at least. The next begins at the earliest row
+    that starts less than the overlap before the window's end, after the window's first row and at its end at the latest.
+    """
+    sums, found, n = _sums([c + ROW_CHARS for c in chars]), [], len(chars)
+    first = 0
+    while not found or found[-1][1] < n:
+        fits = bisect_right(sums, sums[first] + WINDOW_CHARS, first + 1) - 1
+        late = next((i for i in range(first + 1, fits) if ends[i] > starts[first] + WINDOW_MS), fits)
+        found.append((first, min(n, max(late, first + 1))))
+        last = found[-1][1] - 1
+        first = min(last + 1, max(first + 1, bisect_right(starts, ends[last] - WINDOW_OVERLAP_MS)))
+    return found if n else []
 
 
 def transcript_windows(rows: DataFrame) -> DataFrame:
@@ -50,14 +56,12 @@ def transcript_windows(rows: DataFrame) -> DataFrame:
 
 
 def batch_bounds(sizes: list[int], max_rows: int = BATCH_ROWS, max_chars: int = BATCH_CHARS) -> list[int]:
-    """The batch of each row: a new one begins where a row would pass either limit."""
-    out, batch, rows, chars = [], 0, 0, 0
-    for size in sizes:
-        if rows and (rows >= max_rows or chars + size > max_chars):
-            batch, rows, chars = batch + 1, 0, 0
-        rows, chars = rows + 1, chars + size
-        out.append(batch)
-    return out
+    """The batch of each row: as many rows as fit by number and by characters, one at least."""
+    sums, cuts = _sums(sizes), [0]
+    while cuts[-1] < len(sizes):
+        first = cuts[-1]
+        cuts.append(min(first + max_rows, len(sizes), max(first + 1, bisect_right(sums, sums[first] + max_chars, first) - 1)))
+    return [batch for batch, (a, b) in enumerate(pairwise(cuts)) for _ in range(a, b)]
 
 
 def row_batches(rows: DataFrame) -> DataFrame:
@@ -72,12 +76,12 @@ def row_batches(rows: DataFrame) -> DataFrame:
 
 
 def cue_numbers(chars: list[int], starts: list[int], ends: list[int]) -> list[int]:
-    """The caption of each word: a new one begins past the characters, the time, or a long pause."""
+    """The caption of each word: a new one begins past the characters (with the spaces that join words), the time, or a long pause."""
     out, cue, size, begin = [], -1, 0, 0
     for i, (n, s, e) in enumerate(zip(chars, starts, ends, strict=True)):
-        if i == 0 or size + n > CUE_CHARS or e - begin > CUE_MS or s - ends[i - 1] > CUE_GAP_MS:
-            cue, size, begin = cue + 1, 0, s
-        size += n
+        if i == 0 or size + 1 + n > CUE_CHARS or e - begin > CUE_MS or s - ends[i - 1] > CUE_GAP_MS:
+            cue, size, begin = cue + 1, -1, s
+        size += 1 + n
         out.append(cue)
     return out
 

@@ -60,15 +60,15 @@ def iv_complement(spark, d):
     return iv.complement(ev(spark, d, "view"), clips(spark, d), ["rec"])
 
 
-@query(f"""WITH {EV}, r AS (SELECT id, rec, s // 10 * 10 AS s, e // 10 * 10 + 10 AS e FROM ev WHERE kind = 'view'),
-c AS (SELECT rec, s // 10 * 10 AS s, e // 10 * 10 + 10 AS e FROM ev WHERE kind = 'click'), inside AS (
-  SELECT r.id, greatest(r.s, c.s) AS s, least(r.e, c.e) AS e FROM r JOIN c ON r.rec = c.rec AND least(r.e, c.e) > greatest(r.s, c.s)
-  UNION ALL SELECT id, s, s FROM r UNION ALL SELECT id, e, e FROM r
-), gaps AS (SELECT id, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, s AS e FROM inside)
-SELECT r.rec, r.id, g.s, g.e FROM gaps g JOIN r ON g.id = r.id WHERE g.e - g.s > 2""")
+@query(f"""WITH RECURSIVE {EV}, r AS (SELECT id, rec, s, e FROM ev WHERE kind = 'view'), c0 AS (SELECT rec, s, e FROM ev WHERE kind = 'click'),
+c AS (SELECT r.id, row_number() OVER (PARTITION BY r.id ORDER BY c0.s, c0.e) AS k, c0.s, c0.e FROM r JOIN c0 ON r.rec = c0.rec AND least(r.e, c0.e) - greatest(r.s, c0.s) > 2), n AS (SELECT r.id, r.rec, count(c.id) AS n FROM r LEFT JOIN c ON c.id = r.id GROUP BY r.id, r.rec),
+p(id, k, s, e) AS (SELECT id, 0, s, e FROM r UNION ALL
+  SELECT p.id, p.k + 1, CASE WHEN least(p.e, c.e) - greatest(p.s, c.s) > 2 AND side = 1 THEN c.e ELSE p.s END, CASE WHEN least(p.e, c.e) - greatest(p.s, c.s) > 2 AND side = 0 THEN c.s ELSE p.e END
+  FROM p JOIN c ON c.id = p.id AND c.k = p.k + 1 CROSS JOIN (VALUES (0), (1)) v(side)
+  WHERE CASE WHEN least(p.e, c.e) - greatest(p.s, c.s) > 2 THEN (side = 0 AND c.s - p.s > 2) OR (side = 1 AND p.e - c.e > 2) ELSE side = 0 END)
+SELECT n.rec, p.id, p.s, p.e FROM p JOIN n ON n.id = p.id AND p.k = n.n""")
 def iv_subtract(spark, d):
-    snap = lambda x: x.withColumns({"s": F.floor(F.col("s") / 10) * 10, "e": F.floor(F.col("e") / 10) * 10 + 10})
-    return iv.subtract(snap(ev(spark, d, "view").select("rec", "id", "s", "e")), snap(ev(spark, d, "click").select("rec", "s", "e")), ["rec"], WIDTH)
+    return iv.subtract(ev(spark, d, "view").select("rec", "id", "s", "e"), ev(spark, d, "click").select("rec", "s", "e"), ["rec"], WIDTH)
 
 
 @query(f"""WITH {EV} SELECT a.rec, a.id, b.id AS other, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e
@@ -321,13 +321,13 @@ def candidate_validation(spark, d):
     return rules.validate_candidates(proposals(spark, d), sentences(spark, d), 5_000, 60_000)
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0), g AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE quality = 0) GROUP BY doc_id)
+@query("""WITH w AS (SELECT DISTINCT doc_id FROM documents), g AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE quality = 0) GROUP BY doc_id)
 SELECT coalesce(w.doc_id, g.doc_id) AS doc_id, CASE WHEN g.doc_id IS NULL THEN 'missing' WHEN w.doc_id IS NULL THEN 'unknown' ELSE 'repeated' END AS rule
 FROM w FULL JOIN g ON w.doc_id = g.doc_id WHERE g.doc_id IS NULL OR w.doc_id IS NULL OR g.n > 1""")
 def partition_check(spark, d):
     labels = read(spark, d, "labels")
     given = labels.select("doc_id").unionByName(labels.where("quality = 0").select("doc_id"))
-    return rules.partition_violations(read(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id"), given, ["doc_id"])
+    return rules.partition_violations(read(spark, d, "documents").select("doc_id"), given, ["doc_id"])
 
 
 _QUOTES = "quotes AS (SELECT rec * 1000 + id AS quote_id, rec * 1000 + id + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS id, CASE WHEN id % 4 = 0 THEN upper(substring(text, 3, 12)) ELSE substring(text, 3, 12) END AS quote FROM sentences), rows AS (SELECT rec * 1000 + id AS id, text FROM sentences)"
@@ -342,10 +342,10 @@ def quote_violations(spark, d):
     return rules.quote_violations(quotes, rows.select(F.col("row").alias("id"), "text"))
 
 
-@query("""WITH q AS (SELECT item_id AS quote_id, substring(text, 1, 60) AS quote FROM benchmark)
+@query("""WITH q AS (SELECT item_id AS quote_id, text AS quote FROM benchmark)
 SELECT quote_id, min(doc_id) AS id FROM q JOIN documents ON contains(text, quote) GROUP BY quote_id HAVING count(*) = 1""")
 def quote_rebind(spark, d):
-    quotes = read(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.substring("text", 1, 60).alias("quote"))
+    quotes = read(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     return rules.rebind_quotes(quotes, read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 

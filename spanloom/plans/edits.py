@@ -206,10 +206,9 @@ def storage_estimate(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.ceil(F.col("o_totalprice") * F.lit(1.08)) + 5 * 4096).cast("long").alias("bytes"))
 
 
-@query("""SELECT DISTINCT l_orderkey AS id, l_returnflag AS quote, l_linestatus AS role FROM lineitem WHERE l_linenumber <= 4""")
+@query("""SELECT DISTINCT l_orderkey AS id, l_returnflag AS quote, l_linestatus AS role FROM lineitem""")
 def evidence_union(spark, d):
-    rows = read(spark, d, "lineitem").where("l_linenumber <= 4")
-    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("quote"), F.col("l_linestatus").alias("role")).dropDuplicates()
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("quote"), F.col("l_linestatus").alias("role")).dropDuplicates()
 
 
 @query("""SELECT l_orderkey AS id FROM lineitem GROUP BY l_orderkey HAVING list_has_any(list(l_partkey), (SELECT list(p_partkey) FROM part WHERE p_size = 7))""")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
+from ..operators import rules
 from .catalogue import query
 from .views import CANDIDATES, EV, PROPOSALS, SENTENCES, WIDTH, candidates, ev, islands, proposals, read, sentences
 
@@ -216,9 +217,9 @@ def first_match(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("part")).join(rows, "part", "left").select("part", F.coalesce("best", "any_one", F.lit(-1)).alias("preview"))
 
 
-@query("""WITH q AS (SELECT item_id, substring(text, 1, 60) AS quote FROM benchmark) SELECT item_id FROM q WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 2 = 0 AND contains(d.text, q.quote))""")
+@query("""SELECT item_id FROM benchmark q WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, q.text))""")
 def lost_anchors(spark, d):
     """Quotes that no retained row holds any more."""
-    quotes = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote"))
-    kept = read(spark, d, "documents").where("doc_id % 2 = 0").select("text").join(F.broadcast(quotes), F.contains("text", "quote")).select("item_id").distinct()
+    quotes = read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    kept = rules.holding_rows(quotes, read(spark, d, "documents").select("text")).select("item_id").distinct()
     return quotes.select("item_id").join(kept, "item_id", "left_anti")

@@ -13,7 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows(frame):
-    show = lambda v: None if pd.isna(v) else f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    # Whole numbers are compared exactly, others to six digits.
+    show = lambda v: None if pd.isna(v) else str(int(v)) if isinstance(v, (int, float)) and float(v).is_integer() and not isinstance(v, bool) else f"{v:.6g}" if isinstance(v, float) else str(v)
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted(map(str, (tuple(map(show, r)) for r in frame.itertuples(index=False, name=None))))
 

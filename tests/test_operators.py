@@ -177,3 +177,32 @@ def test_streams(spark, tmp_path):
     run = state.step_machine_stream(steps).writeStream.format("memory").queryName("steps").outputMode("update").trigger(availableNow=True).start()
     run.awaitTermination()
     assert [tuple(r) for r in spark.table("steps").collect()] == [(1, "done", 1)]
+
+
+def test_subtract_is_a_fold_on_a_fine_clock(spark):
+    import random
+
+    rnd = random.Random(4)
+    regions = [(i, i % 5, s, s + rnd.randrange(1, 60)) for i in range(150) for s in [rnd.randrange(200)]]
+    covers = [(rnd.randrange(5), s, s + rnd.randrange(1, 12)) for _ in range(90) for s in [rnd.randrange(220)]]
+    wanted = []
+    for i, rec, s, e in regions:
+        left = [(s, e)]
+        for _, a, b in sorted(c for c in covers if c[0] == rec):
+            left = [q for p in left for q in ([p] if min(p[1], b) - max(p[0], a) <= 2 else [x for x in ((p[0], a), (b, p[1])) if x[1] - x[0] > 2])]
+        wanted += [(i, rec, *p) for p in left]
+    found = iv.subtract(spark.createDataFrame(regions, "id long, rec long, s long, e long"), spark.createDataFrame(covers, "rec long, s long, e long"), ["rec"], 50)
+    assert sorted((r["id"], r["rec"], r["s"], r["e"]) for r in found.collect()) == sorted(wanted)
+
+
+def test_window_overlap_is_under_the_limit():
+    # Rows of a second: the next window begins at the first row that starts less than 45 seconds before the end.
+    n = 700
+    found = sequential.window_bounds([10] * n, [1000 * i for i in range(n)], [1000 * i + 1000 for i in range(n)])
+    for (_, end), (first, _) in zip(found, found[1:], strict=False):
+        assert 1000 * end - 1000 * first < 45_000 <= 1000 * end - 1000 * (first - 1)
+    assert sequential.window_bounds([], [], []) == [] and sequential.window_bounds([20_000, 5], [0, 10], [10, 20]) == [(0, 1), (1, 2)]
+
+
+def test_captions_count_joining_spaces():
+    assert sequential.cue_numbers([17, 18, 1], [0, 100, 200], [90, 190, 290]) == [0, 0, 1]
