@@ -34,13 +34,13 @@ def window_bounds(chars: list[int], starts: list[int], ends: list[int]) -> list[
     """
     sums, found, n = _sums([c + ROW_CHARS for c in chars]), [], len(chars)
     first = 0
-    while not found or found[-1][1] < n:
+    while n and (not found or found[-1][1] < n):
         fits = bisect_right(sums, sums[first] + WINDOW_CHARS, first + 1) - 1
         late = next((i for i in range(first + 1, fits) if ends[i] > starts[first] + WINDOW_MS), fits)
         found.append((first, min(n, max(late, first + 1))))
         last = found[-1][1] - 1
         first = min(last + 1, max(first + 1, bisect_right(starts, ends[last] - WINDOW_OVERLAP_MS)))
-    return found if n else []
+    return found
 
 
 def transcript_windows(rows: DataFrame) -> DataFrame:
