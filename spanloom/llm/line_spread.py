@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, documents
+from .workspace import Workspace, documents, unused
 
 QUERY = "op8_line_spread"
 
@@ -65,16 +65,17 @@ def line_spread(docs: DataFrame, ws: Workspace, min_sites: int = MIN_SITES, site
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("k") == F.col("keep_k")) & (F.col("pos") == F.col("keep_pos"))
     # Bounded by the document's own lines.
     drop = hits.join(first, "h").where(~stays).groupBy("doc_id", "k").agg(F.collect_set("pos").alias("drop"))
-    drop = ws.table(drop.select(F.col("doc_id").alias("drop_id"), F.col("k").alias("drop_k"), "drop"), "drop")
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    drop_id, drop_k, gone = (unused(docs, x) for x in ("drop_id", "drop_k", "drop"))
+    drop = ws.table(drop.select(F.col("doc_id").alias(drop_id), F.col("k").alias(drop_k), F.col("drop").alias(gone)), "drop")
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     split = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("drop"))
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
-    joined = docs.join(drop, docs["doc_id"].eqNullSafe(drop["drop_id"]) & (_identity() == drop["drop_k"]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    joined = docs.join(drop, docs["doc_id"].eqNullSafe(drop[drop_id]) & (_identity() == drop[drop_k]), "left")
     return joined.select(
         *[text.alias(c) if c == "text" else docs[c] for c in keep],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

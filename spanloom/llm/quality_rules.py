@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .workspace import Workspace, documents
+from .workspace import Workspace, documents, unused
 
 QUERY = "op7_quality_rules"
 
@@ -178,8 +178,12 @@ def quality_rules(docs: DataFrame, ws: Workspace, threshold: float = 0.5) -> Dat
 
 
 def keep_good(docs: DataFrame, ws: Workspace, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns; judged alike, in one pass over the texts."""
-    schema = StructType([*docs.schema.fields, StructField("__failed", BooleanType()), StructField("__votes", StringType())])
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns, whatever their names; judged alike, in one pass over the texts.
+
+    Null and empty texts go, as do all rows without words; null ids and repeated rows are judged like any other. An empty table stays empty.
+    """
+    failed, votes = unused(docs, "failed"), unused(docs, "votes")
+    schema = StructType([*docs.schema.fields, StructField(failed, BooleanType()), StructField(votes, StringType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +193,9 @@ def keep_good(docs: DataFrame, ws: Workspace, threshold: float = 0.5) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.fieldNames())
 
     judged = ws.table(docs.mapInArrow(run, schema), "judged")
-    counts = {r["__votes"]: r["count"] for r in judged.groupBy("__votes").count().collect()}
+    counts = {r[0]: r[1] for r in judged.groupBy(votes).count().collect()}
     good = sorted(p for p, quality in fit_votes(counts)[2].items() if quality >= threshold)
-    return judged.where(~F.col("__failed") & F.col("__votes").isin(good)).select(*docs.columns)
+    return judged.where(~F.col(failed) & F.col(votes).isin(good)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

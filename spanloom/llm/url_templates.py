@@ -1,8 +1,9 @@
 """URL filtering by a tree of path templates per host.
 
-The tree grows level by level. Under each node, segments with digits become patterns; a node with too many
-different children turns them into one wildcard; the few children that remain are merged where their
-labelled shares of good pages do not differ significantly. What is left of a path is its template. A
+The tree grows level by level, to the deepest path. Under each node, segments with digits become patterns; in a
+node with many different children, those with few labels become one wildcard; the children that remain are
+merged where their labelled shares of good pages do not differ significantly from the branch's pooled one. What is
+left of a path is its template. A
 template is rejected when its labelled purity, smoothed towards its host's and that towards the overall
 share, is under a threshold. Pages that a rule of the allow and block list fits are the labelled ones, and
 the rule decides them.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .workspace import Workspace, pages
@@ -24,10 +25,9 @@ QUERY = "op3_url_templates"
 
 #: (verdict, host, path); the host also stands for its subdomains, the path for what begins with it.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Levels of the tree; what lies deeper is one wildcard.
-DEPTH = 8
-#: A node with more different children turns them into a wildcard.
+#: In a node with more different children, those with fewer pages than this share of its labelled ones, or without a label, become a wildcard.
 MAX_CHILDREN = 24
+RARE = 0.02
 #: Children whose shares differ by less than so many standard errors are merged.
 SIMILAR = 1.96
 #: Labelled pages that a prior counts for.
@@ -59,31 +59,46 @@ def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
-def grow(urls: DataFrame, ws: Workspace, depth: int = DEPTH, max_children: int = MAX_CHILDREN, similar: float = SIMILAR) -> DataFrame:
+def _branches(children: Column, similar: float) -> Column:
+    """Children sorted by share as branches (good, labelled, segments), each tested against the pooled share of the branch before."""
+    kind = "array<struct<good:double,labelled:double,segments:array<string>>>"
+
+    def put(branches: Column, child: Column) -> Column:
+        last = F.try_element_at(branches, F.lit(-1))
+        pooled = (last["good"] + child["good"]) / (last["labelled"] + child["labelled"])
+        error = F.sqrt(pooled * (1 - pooled) * (1 / last["labelled"] + 1 / child["labelled"]))
+        alike = (child["labelled"] > 0) & F.coalesce(last["labelled"] > 0, F.lit(False)) & (child["good"] / child["labelled"] - last["good"] / last["labelled"] <= similar * error)
+        alone = F.struct(child["good"].alias("good"), child["labelled"].alias("labelled"), F.array(child["segment"]).alias("segments"))
+        grown = F.struct((last["good"] + child["good"]).alias("good"), (last["labelled"] + child["labelled"]).alias("labelled"), F.concat(last["segments"], F.array(child["segment"])).alias("segments"))
+        return F.when(F.coalesce(alike, F.lit(False)), F.concat(F.slice(branches, F.lit(1), F.size(branches) - 1), F.array(grown))).otherwise(F.concat(branches, F.array(alone))).cast(kind)
+
+    return F.aggregate(children, F.array().cast(kind), put)
+
+
+def grow(urls: DataFrame, ws: Workspace, max_children: int = MAX_CHILDREN, similar: float = SIMILAR) -> DataFrame:
     """host, path, template of a table of host, path, n, good, bad with a row for each host and path."""
     tree = ws.table(urls.select("host", "path", "n", "good", "bad", F.transform(_segments(F.col("path")), lambda x: F.regexp_replace(x, "[0-9]+", "*")).alias("segments"), F.lit("").alias("template")), "tree-0")
-    deepest = min(depth, tree.agg(F.max(F.size("segments"))).first()[0] or 0)
+    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(deepest):
         here = tree.where(F.size("segments") > level).withColumn("segment", F.col("segments")[level])
         sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
         children = ws.table(here.groupBy("host", "template", "segment").agg(*sums), f"children-{level}")
-        many = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > max_children)
-        many = ws.table(many.select("host", "template"), f"many-{level}")
-        # At most max_children rows a node from here on.
-        few = children.join(many, ["host", "template"], "left_anti").withColumn("labelled", F.col("good") + F.col("bad"))
-        share = F.when(F.col("labelled") > 0, F.col("good") / F.col("labelled"))
-        node = Window.partitionBy("host", "template").orderBy(F.col("share").isNull(), "share", "segment")
-        few = few.withColumn("share", share).withColumn("share0", F.lag("share").over(node)).withColumn("labelled0", F.lag("labelled").over(node)).withColumn("good0", F.lag("good").over(node))
-        pooled = (F.col("good") + F.col("good0")) / (F.col("labelled") + F.col("labelled0"))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("labelled0")))
-        alike = F.when(F.col("share").isNull() | F.col("share0").isNull(), False).otherwise(F.col("share") - F.col("share0") <= similar * error)
-        few = few.withColumn("branch", F.sum(F.when(alike, 0).otherwise(1)).over(node.rowsBetween(Window.unboundedPreceding, 0)))
-        merged = few.withColumn("name", F.concat_ws("|", F.array_sort(F.collect_list("segment").over(Window.partitionBy("host", "template", "branch")))))
+        # In a wide node only children with a good part of its labels keep a name: at most 1 / RARE of them.
+        labels = F.col("good") + F.col("bad")
+        node = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum(labels).alias("node_labels"))
+        wide = ws.table(node.where(F.col("children") > max_children).select("host", "template", "node_labels"), f"wide-{level}")
+        few = children.withColumn("labelled", labels).join(wide, ["host", "template"], "left")
+        few = few.where(F.col("node_labels").isNull() | ((F.col("labelled") > 0) & (F.col("labelled") >= RARE * F.col("node_labels"))))
+        # In the order of their shares, a child joins the branch before it unless it differs from that branch as a whole.
+        row = F.struct(F.coalesce(F.col("good") / F.nullif("labelled", F.lit(0)), F.lit(2.0)).alias("share"), "segment", F.col("good").cast("double").alias("good"), F.col("labelled").cast("double").alias("labelled"))
+        nodes = few.groupBy("host", "template").agg(F.sort_array(F.collect_list(row)).alias("children"))
+        merged = nodes.select("host", "template", F.explode(_branches(F.col("children"), similar)).alias("branch"))
+        merged = merged.select("host", "template", F.explode("branch.segments").alias("segment"), F.array_join(F.array_sort("branch.segments"), "|").alias("name"))
         merged = ws.table(merged.select("host", "template", "segment", "name"), f"branches-{level}")
         named = here.join(merged, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*"))))
         done = tree.where(F.size("segments") <= level)
         tree = ws.table(done.unionByName(named.select(done.columns)), f"tree-{level + 1}")
-    return tree.withColumn("template", F.when(F.size("segments") > deepest, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    return tree
 
 
 def url_templates(table: DataFrame, ws: Workspace, rules: Sequence[tuple[str, str, str]] = RULES, min_purity: float = MIN_PURITY, prior_pages: float = PRIOR_PAGES, **tree: float) -> DataFrame:

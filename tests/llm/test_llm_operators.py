@@ -483,11 +483,64 @@ def test_url_templates(spark):
     found = {r["path"]: r for r in url_templates.url_templates(pages, Workspace(spark, "t"), rules=rules, max_children=6).collect()}
     assert found["/good/3"]["template"] == "/good/*" and found["/good/3"]["purity"] > 0.9 and found["/bad/3"]["purity"] < 0.1
     assert found["/mixed/c"]["template"] == "/mixed/*" and abs(found["/mixed/c"]["purity"] - 0.5) < 0.01
-    assert found["/deep/a/b/c/d/e/f/g/h/i"]["template"] == "/deep/a/b/c/d/e/f/g/**"
+    assert found["/deep/a/b/c/d/e/f/g/h/i"]["template"] == "/deep/a/b/c/d/e/f/g/h/i"
     again = {r["path"]: r["template"] for r in url_templates.url_templates(pages, Workspace(spark, "t"), rules=(("allow", "h", "/good/"), ("allow", "h", "/bad/")), max_children=6).collect()}
     assert again["/good/3"] == "/bad|good/*"
 
 
+def test_url_templates_tell_deep_branches_apart(spark):
+    deep = "/".join("abcdefghijkl")
+    rules = (("allow", "h", f"/{deep}/good/"), ("block", "h", f"/{deep}/bad/"))
+    urls = [f"x://h/{deep}/{kind}/{i}" for kind in ("good", "bad") for i in range(30)]
+    pages = spark.createDataFrame([*enumerate(urls), (None, urls[0]), (0, urls[0]), (99, None)], "page_id long, url string")
+    found = url_templates.url_templates(pages, Workspace(spark, "t"), rules=rules).collect()
+    assert len(found) == len(urls) + 3
+    purity = {r["template"]: r["purity"] for r in found if r["path"]}
+    assert purity.keys() == {f"/{deep}/good/*", f"/{deep}/bad/*"} and purity[f"/{deep}/good/*"] > 0.9 and purity[f"/{deep}/bad/*"] < 0.1
+
+
+def _plain_templates(urls, rules, max_children, similar=1.96, rare=0.02):
+    """path: template of the paths of one host, by dictionaries."""
+    rows = []
+    for path in urls:
+        said = max((r for r in rules if path.startswith(r[2])), key=lambda r: len(r[2]), default=(None,))[0]
+        rows.append([path, [regex.sub("[0-9]+", "*", x) for x in path.split("/") if x], int(said == "allow"), int(said == "block"), ""])
+    for level in range(max(len(r[1]) for r in rows)):
+        nodes = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0]))
+        here = [r for r in rows if len(r[1]) > level]
+        for r in here:
+            sums = nodes[r[4]][r[1][level]]
+            sums[0] += r[2]
+            sums[1] += r[2] + r[3]
+        names = {}
+        for template, children in nodes.items():
+            labels = sum(n for _, n in children.values())
+            kept = [(g / n if n else 2.0, s, g, n) for s, (g, n) in children.items() if len(children) <= max_children or n > 0 and n >= rare * labels]
+            branches = []
+            for share, s, g, n in sorted(kept):
+                if branches and n and branches[-1][1]:
+                    g0, n0, members = branches[-1]
+                    pooled = (g + g0) / (n + n0)
+                    if share - g0 / n0 <= similar * (pooled * (1 - pooled) * (1 / n + 1 / n0)) ** 0.5:
+                        branches[-1] = (g + g0, n + n0, [*members, s])
+                        continue
+                branches.append((g, n, [s]))
+            names |= {(template, s): "|".join(sorted(members)) for _, _, members in branches for s in members}
+        for r in here:
+            r[4] += "/" + names.get((r[4], r[1][level]), "*")
+    return {r[0]: r[4] for r in rows}
+
+
+def test_url_templates_by_brute_force(spark):
+    rnd = random.Random(6)
+    word = lambda k: rnd.choice("abcdefgh"[:k]) * rnd.randrange(1, 3)
+    urls = sorted({"/" + "/".join([rnd.choice(("good", "bad", "so", "x1")), *(word(8) if rnd.random() < 0.7 else str(rnd.randrange(50)) for _ in range(rnd.randrange(12)))]) for _ in range(400)})
+    rules = (("allow", "h", "/good/"), ("block", "h", "/bad/"), ("block", "h", "/good/a"), ("allow", "h", "/bad/b"), ("block", "h", "/so/c"))
+    pages = spark.createDataFrame([(i, f"x://h{u}") for i, u in enumerate(urls)], "page_id long, url string")
+    found = {r["path"]: r["template"] for r in url_templates.url_templates(pages, Workspace(spark, "t"), rules=rules, max_children=5).collect()}
+    assert found == _plain_templates(urls, rules, 5)
+
+
 # ---- mixing ----
 
 
@@ -652,3 +705,37 @@ def test_held_out_labels(spark, sf):
     # At 0.01 a language has 8 to 15 such documents but English, and toxic words that no other document has.
     assert (judged.hat == judged.domain).mean() > 0.93 and (sf == "0.01" or (right > 0.9).all()), right
     assert (kept > 0.95).all(), kept
+
+
+# ---- quality votes, names that clash ----
+
+
+def test_votes_by_rows(spark):
+    # EM a row at a time, with the posterior of each row.
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + [t or "" for _, t in TEXTS]
+    votes = np.array([["-0+".index(c) - 1 for c in quality_rules.measure(t)[1]] for t in texts], float)
+    share, accuracy = 0.5, np.full(votes.shape[1], 0.8)
+    posterior = lambda: np.array([1 / (1 + np.exp(-(np.log(share / (1 - share)) + sum(v * np.log(a / (1 - a)) for v, a in zip(row, accuracy, strict=True))))) for row in votes])
+    for _ in range(200):
+        good = posterior()
+        new_share, new = min(max((good.sum() + 4) / (len(votes) + 5), 0.05), 0.99), accuracy.copy()
+        for j in range(votes.shape[1]):
+            right = sum(g if v > 0 else 1 - g for g, v in zip(good, votes[:, j], strict=True) if v)
+            new[j] = min(max((right + 1.6) / (np.count_nonzero(votes[:, j]) + 2), 0.6), 0.99)
+        moved = max(abs(new_share - share), np.abs(new - accuracy).max())
+        share, accuracy = new_share, new
+        if moved < 1e-9:
+            break
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = quality_rules.quality_rules(table, Workspace(spark, "t")).toPandas().sort_values("doc_id")
+    assert np.abs(found.quality.to_numpy() - posterior()).max() < 1e-9
+    assert (found.kept == (~found.base_failed & (posterior() >= 0.5))).all()
+
+
+def test_clashing_names(spark):
+    names = ("drop", "drop_id", "drop_k", "k", "h", "pos", "votes", "failed", "__votes", "__failed", "Drop_")
+    made = table(spark).withColumns({x: F.lit(3) for x in names} | {"source": F.lit("s"), "lang": F.lit("en")})
+    for out in (line_spread.line_spread(made, Workspace(spark, "t")), quality_rules.keep_good(made, Workspace(spark, "t"))):
+        assert set(made.columns) <= set(out.columns) and out.where(" OR ".join(f"`{x}` <> 3" for x in names)).count() == 0
+    plain = line_spread.line_spread(table(spark).withColumn("source", F.lit("s")), Workspace(spark, "t"))
+    assert rows(plain, "doc_id", "text") == rows(line_spread.line_spread(made, Workspace(spark, "t")), "doc_id", "text")
