@@ -15,6 +15,7 @@ with a third of all pages is no single group; a node's children meet only once t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +80,10 @@ def grow(urls: DataFrame, ws: Workspace, max_children: int = MAX_CHILDREN, simil
     """host, path, template of a table of host, path, n, good, bad with a row for each host and path."""
     tree = ws.table(urls.select("host", "path", "n", "good", "bad", F.transform(_segments(F.col("path")), lambda x: F.regexp_replace(x, "[0-9]+", "*")).alias("segments"), F.lit("").alias("template")), "tree-0")
     deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
+    ended = []
     for level in range(deepest):
+        # Paths that end here are read from this level's table in the end; only longer ones go on.
+        ended.append(tree.where(F.size("segments") <= level))
         here = tree.where(F.size("segments") > level).withColumn("segment", F.col("segments")[level])
         sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
         children = ws.table(here.groupBy("host", "template", "segment").agg(*sums), f"children-{level}")
@@ -96,9 +100,8 @@ def grow(urls: DataFrame, ws: Workspace, max_children: int = MAX_CHILDREN, simil
         merged = merged.select("host", "template", F.explode("branch.segments").alias("segment"), F.array_join(F.array_sort("branch.segments"), "|").alias("name"))
         merged = ws.table(merged.select("host", "template", "segment", "name"), f"branches-{level}")
         named = here.join(merged, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*"))))
-        done = tree.where(F.size("segments") <= level)
-        tree = ws.table(done.unionByName(named.select(done.columns)), f"tree-{level + 1}")
-    return tree
+        tree = ws.table(named.select(tree.columns), f"tree-{level + 1}")
+    return reduce(DataFrame.unionByName, ended, tree)
 
 
 def url_templates(table: DataFrame, ws: Workspace, rules: Sequence[tuple[str, str, str]] = RULES, min_purity: float = MIN_PURITY, prior_pages: float = PRIOR_PAGES, **tree: float) -> DataFrame:
