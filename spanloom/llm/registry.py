@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_spread, ngram_join, quality_rules, sentencepiece_codec, soft_mixing, suffix_dedup, url_templates, warc_zip, wavelet_store
+from . import centroids, exact_dedup, line_spread, ngram_join, prefix_trie, quality_rules, sentencepiece_codec, soft_mixing, suffix_dedup, url_templates, warc_zip, wavelet_store
 
 _MODULES = (
     soft_mixing,
@@ -19,6 +19,8 @@ _MODULES = (
     line_spread,
     sentencepiece_codec,
     ngram_join,
+    prefix_trie,
+    centroids,
 )
 
 
