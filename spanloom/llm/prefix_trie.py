@@ -97,22 +97,26 @@ def rank_sequences(items: DataFrame, ws: Workspace, block: int = BLOCK) -> DataF
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (h1, h2, depth, conv_id) to rows of up to PACK ids of one node, written out in decimals."""
 
-    def row(node, ids):
-        return [[x] for x in (*node, ids[0], ",".join(map(str, ids)))]
-
-    def batch_of(node, ids):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row(node, ids), (*[pa.int64()] * 4, pa.string()), strict=True)], names=["h1", "h2", "depth", "first", "ids"])
-
-    node, ids = None, []
+    node, ids, out, held = None, [], [], 0
     for batch in batches:
         for *here, conv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if ids and (here != node or len(ids) >= PACK):
-                yield batch_of(node, ids)
+                out.append((*node, ids[0], ",".join(map(str, ids))))
+                held += len(ids)
                 ids = []
+                if held >= PACK:
+                    yield _packs(out)
+                    out, held = [], 0
             node = here
             ids.append(conv)
     if ids:
-        yield batch_of(node, ids)
+        out.append((*node, ids[0], ",".join(map(str, ids))))
+    yield _packs(out)
+
+
+def _packs(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*[pa.int64()] * 4, pa.string()), strict=True)], names=["h1", "h2", "depth", "first", "ids"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

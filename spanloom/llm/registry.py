@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, exact_dedup, line_spread, ngram_join, prefix_trie, quality_rules, sentencepiece_codec, soft_mixing, suffix_dedup, url_templates, warc_zip, wavelet_store
+from . import bloom_lm, centroids, exact_dedup, line_spread, ngram_join, prefix_trie, quality_rules, sentencepiece_codec, soft_mixing, suffix_dedup, url_templates, warc_zip, wavelet_store
 
 _MODULES = (
     soft_mixing,
@@ -20,6 +20,7 @@ _MODULES = (
     sentencepiece_codec,
     ngram_join,
     prefix_trie,
+    bloom_lm,
     centroids,
 )
 
