@@ -37,7 +37,7 @@ ADDED = 0.1
 #: How many sightings the shorter context's opinion is worth.
 PRIOR = 100.0
 #: UTF-8 bytes of texts in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 23
 #: N-grams, or words, that a bucket has on average at most.
 BUCKET = 1 << 19
 #: Buckets in a broadcast segment. A bucket of 2 ** 19 sightings has at most as many pairs, so a segment has 32 MB at HASHES = 6.
@@ -142,6 +142,11 @@ def expected_count(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (3 * np.exp2(levels.astype(np.float64) - 1) - 1) / 2, 0.0)
 
 
+def _read(column: pa.Array, i: int, kind: type) -> np.ndarray:
+    """Numbers of a binary cell, not copied."""
+    return np.frombuffer(column[i].as_buffer(), kind)
+
+
 def chunked(docs: DataFrame, ws: Workspace, train: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The documents in chunks, a row each; written once, so that all later steps see the same chunks."""
 
@@ -189,8 +194,8 @@ def word_totals(chunks: DataFrame, ws: Workspace, buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                words, counts = _read(batch.column(1), i, np.uint64), _read(batch.column(2), i, np.int64)
                 rows = [(b, chunk, words[s].tobytes(), counts[s].tobytes()) for b, s in _slices(words, buckets)]
                 columns = zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["bucket", "chunk", "words", "counts"])
@@ -218,11 +223,14 @@ def gram_levels(chunks: DataFrame, ws: Workspace, buckets: int, order: int, hash
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, held, sizes, tokens, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = np.concatenate(gram_hashes(np.frombuffer(tokens, np.int32), np.frombuffer(words, np.uint64), order))
+            for i, (chunk, held, sizes) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
+                found = np.concatenate(gram_hashes(_read(batch.column(3), i, np.int32), _read(batch.column(4), i, np.uint64), order))
                 counted = np.tile(np.repeat(~np.array(held, bool), sizes), order - 1)
-                grams, at = np.unique(found, return_inverse=True)
-                counts = np.bincount(at[counted], minlength=len(grams)).astype(np.uint32)
+                place = np.argsort(found, kind="stable")
+                found, counted = found[place], counted[place]
+                starts = np.flatnonzero(np.concatenate((np.ones(1, bool), found[1:] != found[:-1])))
+                grams, counts = found[starts], np.add.reduceat(counted, starts, dtype=np.uint32)
+                del found, counted, place
                 prints = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 rows = [(chunk, b, prints[s].tobytes(), counts[s].tobytes(), b // segment) for b, s in _slices(grams, buckets)]
                 columns = zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)
@@ -312,10 +320,10 @@ def language_model(docs: DataFrame, ws: Workspace, train: Column, order: int = O
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for batch in batches:
-            for ids, held, sizes, tokens, words, totals_of, levels_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens, words = np.frombuffer(tokens, np.int32), np.frombuffer(words, np.uint64)
-                total = np.frombuffer(b"".join(totals_of), np.int64)
-                base, model = log_scores(tokens, words, total, np.frombuffer(b"".join(levels_of), np.uint8), n, v, order, prior)
+            for i, (ids, held, sizes) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
+                tokens, words = _read(batch.column(3), i, np.int32), _read(batch.column(4), i, np.uint64)
+                total, level = (np.frombuffer(b"".join(batch.column(k)[i].as_py()), t) for k, t in ((5, np.int64), (6, np.uint8)))
+                base, model = log_scores(tokens, words, total, level, n, v, order, prior)
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
                 sums = [np.add.reduceat(x, starts) for x in ((total[tokens] > 0).astype(np.int64), base, model)]
                 columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(sums[0]), pa.array([n] * len(ids), pa.int64()), *map(pa.array, sums[1:])]
