@@ -31,7 +31,7 @@ QUERY = "op12_bloom_lm"
 #: Words of an n-gram at most.
 ORDER = 2
 #: Hash functions of the filter: a pair that was never added is found with chance 2 ** -HASHES.
-HASHES = 6
+HASHES = 10
 #: Added to every word's count.
 ADDED = 0.1
 #: How many sightings the shorter context's opinion is worth.
@@ -40,8 +40,8 @@ PRIOR = 100.0
 CHUNK_BYTES = 1 << 23
 #: N-grams, or words, that a bucket has on average at most.
 BUCKET = 1 << 19
-#: Buckets in a broadcast segment. A bucket of 2 ** 19 sightings has at most as many pairs, so a segment has 32 MB at HASHES = 6.
-SEGMENT = 56
+#: Buckets in a broadcast segment. A bucket of 2 ** 19 sightings has at most as many pairs, so a segment has 31 MB at HASHES = 10.
+SEGMENT = 32
 
 _CHUNKS = "chunk string, doc_ids array<long>, held_out array<boolean>, sizes array<long>, tokens binary, words binary, word_counts binary, n_tokens long, n_words long"
 _END = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -109,7 +109,8 @@ def bit_places(prints: np.ndarray, level: int, bits: int, hashes: int) -> Iterat
         x = mixed(prints.astype(np.uint64) + (np.uint64(level) << np.uint64(32)))
         low, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
         for i in range(hashes):
-            yield (((low + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)
+            # The fixed term keeps the places apart where the step is next to nothing.
+            yield (((low + np.uint64(i) * step + np.uint64(i * i * 0x9E3779B1)) & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)
 
 
 def build_filter(prints: np.ndarray, counts: np.ndarray, hashes: int = HASHES) -> tuple[int, bytes]:
@@ -147,6 +148,16 @@ def _read(column: pa.Array, i: int, kind: type) -> np.ndarray:
     return np.frombuffer(column[i].as_buffer(), kind)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after one byte that tells how many."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
 def chunked(docs: DataFrame, ws: Workspace, train: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The documents in chunks, a row each; written once, so that all later steps see the same chunks."""
 
@@ -155,7 +166,7 @@ def chunked(docs: DataFrame, ws: Workspace, train: Column, chunk_bytes: int = CH
         tokens, sizes, words = tokenised(texts)
         counted = np.repeat(~held.to_numpy(zero_copy_only=False), sizes)
         counts = np.bincount(tokens[counted], minlength=len(words))
-        values = [uuid.uuid4().hex, ids.to_pylist(), held.to_pylist(), sizes.tolist(), tokens.tobytes(), words.tobytes(), counts.astype(np.int64).tobytes(), len(tokens), len(words)]
+        values = [uuid.uuid4().hex, ids.to_pylist(), held.to_pylist(), sizes.tolist(), tokens.tobytes(), words.tobytes(), packed(counts), len(tokens), len(words)]
         types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64(), pa.int64()]
         names = ["chunk", "doc_ids", "held_out", "sizes", "tokens", "words", "word_counts", "n_tokens", "n_words"]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
@@ -195,21 +206,21 @@ def word_totals(chunks: DataFrame, ws: Workspace, buckets: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                words, counts = _read(batch.column(1), i, np.uint64), _read(batch.column(2), i, np.int64)
-                rows = [(b, chunk, words[s].tobytes(), counts[s].tobytes()) for b, s in _slices(words, buckets)]
+                words, counts = _read(batch.column(1), i, np.uint64), unpacked(batch.column(2)[i].as_py())
+                rows = [(b, chunk, words[s].tobytes(), packed(counts[s])) for b, s in _slices(words, buckets)]
                 columns = zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["bucket", "chunk", "words", "counts"])
 
     def add_up(table: pa.Table) -> pa.Table:
         chunk, words = table.column("chunk").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])
         known, at = np.unique(np.concatenate(words), return_inverse=True)
         total = np.zeros(len(known), np.int64)
         np.add.at(total, at, counts)
         parts = np.split(total[at], np.cumsum([len(x) for x in words])[:-1])
         n, bucket = len(chunk) + 1, table.column("bucket")[0].as_py()
         return pa.table({
-            "chunk": pa.array([*chunk, None], pa.string()), "bucket": pa.array([bucket] * n, pa.int32()), "totals": pa.array([*(x.tobytes() for x in parts), None], pa.binary()),
+            "chunk": pa.array([*chunk, None], pa.string()), "bucket": pa.array([bucket] * n, pa.int32()), "totals": pa.array([*(packed(x) for x in parts), None], pa.binary()),
             "distinct": pa.array([*[0] * (n - 1), int((total > 0).sum())], pa.int64()), "tokens": pa.array([*[0] * (n - 1), int(total.sum())], pa.int64()),
         })
 
@@ -232,15 +243,15 @@ def gram_levels(chunks: DataFrame, ws: Workspace, buckets: int, order: int, hash
                 grams, counts = found[starts], np.add.reduceat(counted, starts, dtype=np.uint32)
                 del found, counted, place
                 prints = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                rows = [(chunk, b, prints[s].tobytes(), counts[s].tobytes(), b // segment) for b, s in _slices(grams, buckets)]
+                rows = [(chunk, b, prints[s].tobytes(), packed(counts[s]), b // segment) for b, s in _slices(grams, buckets)]
                 columns = zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["chunk", "bucket", "prints", "counts", "segment"])
 
     def build(table: pa.Table) -> pa.Table:
         prints = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("prints").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])
         order_of = np.argsort(prints[counts > 0])
-        prints, counts = prints[counts > 0][order_of], counts[counts > 0][order_of].astype(np.int64)
+        prints, counts = prints[counts > 0][order_of], counts[counts > 0][order_of]
         starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(prints)), bool), prints[1:] != prints[:-1])))
         bits, content = build_filter(prints[starts], np.add.reduceat(counts, starts) if len(starts) else counts, hashes)
         bucket = table.column("bucket")[0].as_py()
@@ -322,7 +333,8 @@ def language_model(docs: DataFrame, ws: Workspace, train: Column, order: int = O
         for batch in batches:
             for i, (ids, held, sizes) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
                 tokens, words = _read(batch.column(3), i, np.int32), _read(batch.column(4), i, np.uint64)
-                total, level = (np.frombuffer(b"".join(batch.column(k)[i].as_py()), t) for k, t in ((5, np.int64), (6, np.uint8)))
+                total = np.concatenate([unpacked(x) for x in batch.column(5)[i].as_py()])
+                level = np.frombuffer(b"".join(batch.column(6)[i].as_py()), np.uint8)
                 base, model = log_scores(tokens, words, total, level, n, v, order, prior)
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
                 sums = [np.add.reduceat(x, starts) for x in ((total[tokens] > 0).astype(np.int64), base, model)]
