@@ -1,5 +1,5 @@
 """The query catalogue; importing it registers every module of queries."""
 
-from . import catalogue, edits, ledgers, seams, speech
+from . import catalogue, edits, ledgers, seams, speech, stories
 
-__all__ = ["catalogue", "edits", "ledgers", "seams", "speech"]
+__all__ = ["catalogue", "edits", "ledgers", "seams", "speech", "stories"]
