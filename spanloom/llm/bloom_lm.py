@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,9 @@ BUCKET = 1 << 19
 #: Buckets in a broadcast segment. A bucket of 2 ** 19 sightings has at most as many pairs, so a segment has 31 MB at HASHES = 10.
 SEGMENT = 32
 
+#: Rows of chunks that a Python worker gets at once.
+ROWS = 1
+
 _CHUNKS = "chunk string, doc_ids array<long>, held_out array<boolean>, sizes array<long>, tokens binary, words binary, word_counts binary, n_tokens long, n_words long"
 _END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 
@@ -158,6 +162,31 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
 
 
+def packed_ids(ids: np.ndarray, distinct: int) -> bytes:
+    """Word numbers in three bytes each where that is enough, else in four; one byte tells which."""
+    width = 3 if distinct < 1 << 24 else 4
+    return bytes([width]) + ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def unpacked_ids(column: pa.Array, i: int) -> np.ndarray:
+    data = _read(column, i, np.uint8)
+    out = np.zeros((len(data) // int(data[0]), 4), np.uint8)
+    out[:, : data[0]] = data[1:].reshape(-1, int(data[0]))
+    return out.reshape(-1).view("<i4")
+
+
+@contextmanager
+def rows_at_once(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, Python workers get at most ``n`` rows at a time, so that rows of megabytes don't meet in one batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def chunked(docs: DataFrame, ws: Workspace, train: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The documents in chunks, a row each; written once, so that all later steps see the same chunks."""
 
@@ -166,7 +195,7 @@ def chunked(docs: DataFrame, ws: Workspace, train: Column, chunk_bytes: int = CH
         tokens, sizes, words = tokenised(texts)
         counted = np.repeat(~held.to_numpy(zero_copy_only=False), sizes)
         counts = np.bincount(tokens[counted], minlength=len(words))
-        values = [uuid.uuid4().hex, ids.to_pylist(), held.to_pylist(), sizes.tolist(), tokens.tobytes(), words.tobytes(), packed(counts), len(tokens), len(words)]
+        values = [uuid.uuid4().hex, ids.to_pylist(), held.to_pylist(), sizes.tolist(), packed_ids(tokens, len(words)), words.tobytes(), packed(counts), len(tokens), len(words)]
         types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64(), pa.int64()]
         names = ["chunk", "doc_ids", "held_out", "sizes", "tokens", "words", "word_counts", "n_tokens", "n_words"]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
@@ -225,7 +254,8 @@ def word_totals(chunks: DataFrame, ws: Workspace, buckets: int) -> DataFrame:
         })
 
     dealt = chunks.select("chunk", "words", "word_counts").mapInArrow(deal, "bucket int, chunk string, words binary, counts binary")
-    return ws.table(dealt.groupBy("bucket").applyInArrow(add_up, "chunk string, bucket int, totals binary, distinct long, tokens long"), "totals")
+    with rows_at_once(chunks.sparkSession, ROWS):
+        return ws.table(dealt.groupBy("bucket").applyInArrow(add_up, "chunk string, bucket int, totals binary, distinct long, tokens long"), "totals")
 
 
 def gram_levels(chunks: DataFrame, ws: Workspace, buckets: int, order: int, hashes: int, segment: int = SEGMENT) -> DataFrame:
@@ -235,7 +265,7 @@ def gram_levels(chunks: DataFrame, ws: Workspace, buckets: int, order: int, hash
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (chunk, held, sizes) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
-                found = np.concatenate(gram_hashes(_read(batch.column(3), i, np.int32), _read(batch.column(4), i, np.uint64), order))
+                found = np.concatenate(gram_hashes(unpacked_ids(batch.column(3), i), _read(batch.column(4), i, np.uint64), order))
                 counted = np.tile(np.repeat(~np.array(held, bool), sizes), order - 1)
                 place = np.argsort(found, kind="stable")
                 found, counted = found[place], counted[place]
@@ -259,7 +289,8 @@ def gram_levels(chunks: DataFrame, ws: Workspace, buckets: int, order: int, hash
 
     grams, filters, levels = ws.path("grams"), ws.path("filters"), ws.path("levels")
     schema = "chunk string, bucket int, prints binary, counts binary, segment int"
-    chunks.select("chunk", "held_out", "sizes", "tokens", "words").mapInArrow(deal, schema).write.partitionBy("segment").parquet(grams)
+    with rows_at_once(spark, ROWS):
+        chunks.select("chunk", "held_out", "sizes", "tokens", "words").mapInArrow(deal, schema).write.partitionBy("segment").parquet(grams)
     dealt = spark.read.schema(schema).parquet(grams)
     made = dealt.select("bucket", "prints", "counts").groupBy("bucket").applyInArrow(build, "bucket int, bits long, content binary, segment int")
     made.write.partitionBy("segment").parquet(filters)
@@ -332,7 +363,7 @@ def language_model(docs: DataFrame, ws: Workspace, train: Column, order: int = O
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for batch in batches:
             for i, (ids, held, sizes) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
-                tokens, words = _read(batch.column(3), i, np.int32), _read(batch.column(4), i, np.uint64)
+                tokens, words = unpacked_ids(batch.column(3), i), _read(batch.column(4), i, np.uint64)
                 total = np.concatenate([unpacked(x) for x in batch.column(5)[i].as_py()])
                 level = np.frombuffer(b"".join(batch.column(6)[i].as_py()), np.uint8)
                 base, model = log_scores(tokens, words, total, level, n, v, order, prior)
@@ -342,7 +373,8 @@ def language_model(docs: DataFrame, ws: Workspace, train: Column, order: int = O
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return full.select("doc_ids", "held_out", "sizes", "tokens", "words", "totals", "levels").mapInArrow(score, schema)
+    with rows_at_once(chunks.sparkSession, ROWS):
+        return ws.table(full.select("doc_ids", "held_out", "sizes", "tokens", "words", "totals", "levels").mapInArrow(score, schema), "scores")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
