@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import intervals as iv
 from ..operators import rules
+from ..operators import speech as sp
 from .catalogue import query
 from .ledgers import ALIGNED, aligned
 from .views import CANDIDATES, CHAT, CLIPS, EV, PROPOSALS, SENTENCES, WIDTH, candidates, chat, clips, ev, islands, proposals, read, sentences
 
 #: Tolerance, and how far a word may stand outside its row, in milliseconds.
 EPS, PADDING_MS = 2, 120
-#: Words that show emotion, syllables of a reaction, and labels that count as either.
-EMOTION_WORDS = "哭|呜呜|哈哈|呵呵|哽咽|抽泣|心疼|难过|自责|伤心|好疼|好痛"
-REACTION = "^(哈|呵|呜|嘿|啊|唔){2,}$"
-EMOTIONS = ("sad", "angry", "fearful", "disgusted")
-EVENTS = ("cry", "crying", "laugh", "laughter", "music", "singing")
 #: Slack after a window of chat, beside a pause, and beside a clip, in milliseconds.
 CHAT_SLACK_S, PAUSE_SLACK_MS, REVIEW_SLACK_MS = 8, 8_000, 12_000
 #: What a pause must sound like to be cut, in dBFS and as a ratio.
@@ -82,9 +79,8 @@ def aligned_word_violations(spark, d):
 
 
 def emotional(text: Column, emotion: Column, event: Column) -> Column:
-    """Whether a row's words, its emotion or its event show emotion, or it is nothing but a reaction."""
-    plain = F.regexp_replace(text, r"[\s\p{P}]+", "")
-    return text.rlike(EMOTION_WORDS) | plain.rlike(REACTION) | F.lower(F.trim(emotion)).isin(*EMOTIONS) | F.lower(F.trim(event)).isin(*EVENTS)
+    """Whether a row's words, its emotion or its event show emotion, or it is nothing but a reaction; labels count in normal form."""
+    return sp.emotional(text, tx.normalized(text), tx.normalized(emotion), tx.normalized(event))
 
 
 _FELT = """felt AS (SELECT rec, id, s, e, CASE WHEN id % 6 = 1 THEN '嘿嘿！' WHEN id % 4 = 2 THEN text || '哈哈' ELSE text END AS text, CASE WHEN id % 9 = 3 THEN ' Sad' ELSE 'neutral' END AS emotion, CASE WHEN id % 11 = 4 THEN 'Laughter' ELSE 'speech' END AS event FROM sentences),

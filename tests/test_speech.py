@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as tx
 from spanloom.functions.text import normalize_text
 from spanloom.operators import speech as sp
 
@@ -183,3 +184,10 @@ def test_one_read_of_the_rows(spark):
     df.write.mode("overwrite").parquet(path)
     plan = sp.speech_candidates(spark.read.parquet(path), ("repeats",), ("retakes", "fillers"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
+
+
+def test_labels_of_emotion_count_in_normal_form(spark):
+    rows = [("ok", " Ｓａｄ！", None, True), ("ok", "neutral", "Laugh-ter", True), ("ok", "sadly", "speech", False), ("ｘ哭", None, None, True), ("呜, 呜", None, None, True), ("呜", None, None, False), ("", None, None, False)]
+    df = spark.createDataFrame(rows, "text string, emotion string, event string, wanted boolean")
+    n = tx.normalized
+    assert all(r[0] == r[1] for r in df.select(sp.emotional(F.col("text"), n("text"), n("emotion"), n("event")), "wanted").collect())
