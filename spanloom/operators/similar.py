@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.text import MIN_COMPARED, REPEAT_SIMILARITY, STORY_SIMILARITY
 from . import intervals as iv
-from .rules import NEAR_MS, NEAR_PERCENT
+from .rules import NEAR_MS, NEAR_PERCENT, same_story
 
 
 @F.pandas_udf(DoubleType())
@@ -70,6 +70,15 @@ def near_retellings(events: DataFrame, width: int, least: float = STORY_SIMILARI
     return held.unionByName(similar_pairs(pairs.where(~F.contains("b", "a")), least).select("rec", F.col("left").alias("a"), F.col("other").alias("b"), "ratio"))
 
 
+def story_pairs(events: DataFrame, width: int) -> DataFrame:
+    """rec, a, b (a < b) of events (rec, id, s, e, start_id, end_id, told) that tell one story.
+
+    They overlap by half of the shorter, in time or in rows, or are near in time and tell almost the same. Each pair once.
+    """
+    near = near_retellings(events.select("rec", "id", "s", "e", "told"), width).select("rec", "a", "b")
+    return same_story(events.select("rec", "id", "s", "e", "start_id", "end_id"), width).unionByName(near).distinct()
+
+
 def repeat_references(decisions: DataFrame, rows: DataFrame, least: float = REPEAT_SIMILARITY) -> DataFrame:
     """rec, id, violation of decisions (rec, id, quote, own, reference_ids) to cut a telling because another says the same.
 

@@ -94,6 +94,18 @@ def recovered_text(text: Column, words: Column, mapped: Column, first: Column, l
     return F.when((first >= 0) & (first <= last) & (last < F.size(words)), F.coalesce(F.when(covered, literal), plainly))
 
 
+def source_text(text: Column, words: Column, mapped: Column, first: Column, last: Column) -> Column:
+    """As ``recovered_text``, but words that know their places (char_start, char_end) and have there what they say are taken at their word."""
+    a, b, at = F.get(words, first)["char_start"], F.get(words, last)["char_end"], mapped["at"]
+    before = lambda place: F.size(F.filter(at, lambda x: x < place))
+    there = F.substring(mapped["plain"], before(a) + 1, before(b) - before(a))
+    told = F.array_join(F.transform(F.slice(words, first + 1, F.greatest(last - first + 1, F.lit(0))), lambda w: w["plain"]), "")
+    until = F.coalesce(F.array_min(F.filter(at, lambda x: x >= b)), F.length(text))
+    literal = F.regexp_replace(F.substring(text, a + 1, until - a), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    fits = (first >= 0) & (first <= last) & (last < F.size(words)) & (a >= 0) & (a < b) & (b <= F.length(text)) & (there == told)
+    return F.when(F.coalesce(fits, F.lit(False)), literal).otherwise(recovered_text(text, words, mapped, first, last))
+
+
 def located(words: Column, places: Column, base: Column | None = None) -> Column:
     """``words`` with char_start and char_end from their places in a text that starts at ``base``; null where they have none."""
     base = F.lit(0) if base is None else base

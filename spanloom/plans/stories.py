@@ -26,6 +26,14 @@ def near_retellings(spark, d):
     return similar.near_retellings(tellings(spark, d), WIDTH // 10)
 
 
+@query()
+def story_pairs(spark, d):
+    """Events of one story: rows joined to the next, their retellings, by overlap or by what they tell."""
+    events = tellings(spark, d).withColumn("start_id", F.col("id") % 100_000)
+    events = events.withColumns({"end_id": F.col("start_id") + 1, "e": F.col("e") + (F.col("e") - F.col("s")) / 2}).withColumn("e", F.col("e").cast("long"))
+    return similar.story_pairs(events, WIDTH // 10)
+
+
 @query()
 def repeat_references(spark, d):
     """Whether each row is told again, nearly, by the row before or the second after it."""

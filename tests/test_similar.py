@@ -39,6 +39,23 @@ def test_near_retellings_are_those_of_all_pairs(spark):
     assert similar.near_retellings(df.limit(0), 60_000).count() == 0
 
 
+def test_story_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    events = []
+    for i in range(120):
+        start, row = rng.randrange(0, 900_000), rng.randrange(50)
+        events.append((i % 3, i, start, start + rng.choice([500, 20_000, 90_000]), rng.choice(["wewenthomeagain", "wewenthomeagainx", "somethingelse", "short", None]), row, row + rng.randrange(4)))
+    wanted = {(r, a, b) for r, a, b, _ in all_pairs([x[:5] for x in events])}
+    for i, (rec, a, s, e, _, r0, r1) in enumerate(events):
+        for rec2, b, s2, e2, _, q0, q1 in events[i + 1 :]:
+            both = min(e, e2) - max(s, s2)
+            rows = max(0, min(r1, q1) - max(r0, q0) + 1)
+            if rec == rec2 and both > 0 and (2 * both >= min(e - s, e2 - s2) or 2 * rows >= min(r1 - r0, q1 - q0) + 1):
+                wanted.add((rec, a, b))
+    df = spark.createDataFrame(events, "rec long, id long, s long, e long, told string, start_id long, end_id long")
+    assert sorted(map(tuple, similar.story_pairs(df, 60_000).select("rec", "a", "b").collect())) == sorted(wanted)
+
+
 def test_bounds_leave_few_pairs_and_lose_none(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choices("abcdefghijklmnop", weights=range(1, 17), k=rng.randrange(20, 120))) for _ in range(60)]

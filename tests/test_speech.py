@@ -69,6 +69,21 @@ def test_recovered_text(spark):
     assert [r[0] for r in wrong.select(sp.recovered_text(F.col("text"), F.col("words"), F.col("mapped"), F.col("a"), F.col("b"))).collect()] == [None] * 4
 
 
+def test_source_text_trusts_places_that_hold(spark):
+    text = "Ah，去 去！好。"
+    words = [("去", "去", 3, 4), ("去", "去", 5, 6)]
+    cases = [
+        (text, words, 0, 1, "去 去！"), (text, words, 1, 1, "去！"),  # the row says more than these words: only their places tell
+        (text, [("去", "去", 2, 3), words[1]], 0, 0, "去"),  # nothing of that kind is there: the words themselves
+        (text, [("去", "去", None, None), words[1]], 0, 0, "去"), (text, [("好", "好", 3, 4)], 0, 0, "好"), (text, [("去", "去", 3, 99)], 0, 0, "去"),
+        ("去 去！", [("去", "去", None, None), ("去", "去", None, None)], 0, 0, "去"), ("去 去！", [("去", "去", None, None), ("去", "去", None, None)], 0, 1, "去 去！"),
+    ]
+    df = spark.createDataFrame(cases, "text string, words array<struct<text:string,plain:string,char_start:int,char_end:int>>, a int, b int, wanted string")
+    df = df.withColumn("mapped", sp.normal_map(F.col("text"), F.transform("words", lambda w: w["plain"])))
+    found = df.select(sp.source_text(F.col("text"), F.col("words"), F.col("mapped"), F.col("a"), F.col("b")), "wanted").collect()
+    assert [r[0] for r in found] == [r[1] for r in found]
+
+
 def test_joined_and_located_words(spark):
     df = spark.createDataFrame([(["I", "am", "在", "a", "test", "a"],)], "w array<string>")
     assert df.select(sp.joined(F.col("w"))).first()[0] == "I am在a testa"
