@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,26 +124,6 @@ def same_story(events: DataFrame, width: int) -> DataFrame:
     return pairs.where(same).select("rec", F.col("id").alias("a"), "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """rec, id, component: the smallest id that edges (rec, a, b) lead to. A recording's edges meet in one task."""
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        up = {i: i for i in left["id"].tolist()}
-
-        def find(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for a, b in zip(right["a"].tolist(), right["b"].tolist(), strict=True):
-            low, high = sorted((find(a), find(b)))
-            up[high] = low
-        return pd.DataFrame({"rec": key[0], "id": list(up), "component": [find(i) for i in up]})
-
-    return nodes.groupBy("rec").cogroup(edges.groupBy("rec")).applyInPandas(run, "rec long, id long, component long")
-
-
 # ---- ledger ----
 
 

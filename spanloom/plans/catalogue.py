@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import intervals as iv
-from ..operators import rules, sequential, storage
+from ..operators import graph, rules, sequential, storage
 from ..sources import timed_text
 from ..streaming import state
 from .views import CANDIDATES, CHAT, CLIPS, EV, PROPOSALS, SENTENCES, WIDTH, WORDS, candidates, chat, clips, ev, islands, proposals, read, sentences, words
@@ -369,7 +369,7 @@ def same_story_edges(spark, d):
   SELECT id, id AS other FROM ev UNION SELECT r.id, w.b FROM reach r JOIN both_ways w ON r.other = w.a
 ) SELECT e.rec, r.id, min(r.other) AS component FROM reach r JOIN ev e ON e.id = r.id GROUP BY e.rec, r.id""")
 def story_components(spark, d):
-    return rules.components(ev(spark, d).select("rec", "id"), same_story_edges(spark, d))
+    return graph.components(ev(spark, d).select("rec", "id"), same_story_edges(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_STORY}, both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), reach AS (
