@@ -6,7 +6,7 @@ parameters, as edits, captions and scoring each use their own.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: The tolerance of edits and captions, in milliseconds, and the shortest piece that is kept.
 EPSILON_MS = 2
 MIN_PIECE_MS = 40
+#: How many widths of buckets an overlap join has, and how many times as wide the next is; at the most 1,024 times the first.
+LEVELS, FACTOR = 6, 4
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -57,14 +59,29 @@ def complement(df: DataFrame, clips: DataFrame, keys: Sequence[str], eps: int =
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, min_overlap: int = 0) -> DataFrame:
     """Pairs with the keys equal and more than ``min_overlap`` in common; the right side's s, e become s2, e2.
 
-    Both sides are dealt into buckets of ``width`` by time, joined by key and bucket, and a pair is kept in
-    the first bucket that it shares. The join is by equality, and a hot key spreads over its buckets.
+    Time is cut into buckets of ``width``, and again into ones FACTOR times as wide, on LEVELS levels. An interval's own
+    level is the lowest whose buckets are as long as it is, so that it lies in two of them at most, whatever its length;
+    on the levels above it is a guest. A pair meets on the level of its longer one, in the first bucket that both share;
+    guests don't meet guests. The join is by equality and a hot key spreads over its buckets. It is never a broadcast:
+    Spark's estimate knows nothing of the rows that dealing makes.
     """
-    deal = lambda df, s, e: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
+    top = LEVELS - 1
     other = right.withColumnsRenamed({"s": "s2", "e": "e2"})
-    pairs = deal(left.where("e >= s"), "s", "e").join(deal(other.where("e2 >= s2"), "s2", "e2"), [*keys, "_bucket"])
-    first = F.greatest(F.floor(F.col("s") / width), F.floor(F.col("s2") / width))
-    return pairs.where((F.col("_bucket") == first) & (overlap(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")) > min_overlap)).drop("_bucket")
+    step = lambda level: F.lit(width) * F.pow(F.lit(FACTOR), level)
+
+    def deal(df: DataFrame, s: str, e: str, ways: Callable[[Column], Column]) -> DataFrame:
+        own = reduce(lambda rest, i: F.when(F.col(e) - F.col(s) <= width * FACTOR**i, i).otherwise(rest), range(top - 1, -1, -1), F.lit(top))
+        placed = df.withColumn("_own", own).withColumn("_level", F.explode(F.sequence("_own", F.lit(top))))
+        placed = placed.withColumn("_way", F.explode(ways(F.col("_level") == F.col("_own"))))
+        return placed.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(s) / step(F.col("_level"))), F.floor(F.col(e) / step(F.col("_level")))))).drop("_own")
+
+    # On way 0 the left one is at home and the right one at home or a guest; on way 1 the left one is a guest of the right one.
+    one, both = F.array(F.lit(0)), F.array(F.lit(0), F.lit(1))
+    lefts = deal(left.where("e >= s"), "s", "e", lambda home: F.when(home, one).otherwise(F.array(F.lit(1))))
+    rights = deal(other.where("e2 >= s2"), "s2", "e2", lambda home: F.when(home, both).otherwise(one))
+    pairs = lefts.hint("merge").join(rights.hint("merge"), [*keys, "_level", "_way", "_bucket"])
+    first = F.floor(F.greatest("s", "s2") / step(F.col("_level")))
+    return pairs.where((F.col("_bucket") == first) & (overlap(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")) > min_overlap)).drop("_level", "_way", "_bucket")
 
 
 def intersections(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, eps: int = EPSILON_MS) -> DataFrame:
