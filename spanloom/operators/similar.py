@@ -7,21 +7,73 @@ their number over both lengths bounds the similarity. Lengths alone give a weake
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from ..functions.text import MIN_COMPARED, REPEAT_SIMILARITY, STORY_SIMILARITY
 from . import intervals as iv
 from .rules import NEAR_MS, NEAR_PERCENT, same_story
 
 
+def ratio(a: str, b: str) -> float:
+    """``difflib.SequenceMatcher(None, a, b).ratio()``.
+
+    From 200 characters of b on, difflib begins no match at a character that makes up more than a hundredth of b.
+    Hardly any places of a are left then, so only those are looked at here.
+    """
+    if len(b) < 200:
+        return difflib.SequenceMatcher(None, a, b).ratio()
+    often = len(b) // 100 + 1
+    rare = {c for c, n in Counter(b).items() if n <= often}
+    places: dict[str, list[int]] = {c: [] for c in rare}
+    for j, c in enumerate(b):
+        if c in rare:
+            places[c].append(j)
+    seeds = [i for i, c in enumerate(a) if c in rare]
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        at, to, size, before, last = a0, b0, 0, {}, -2
+        for i in seeds[bisect_left(seeds, a0) : bisect_left(seeds, a1)]:
+            here = {}
+            for j in places[a[i]]:
+                if b0 <= j < b1:
+                    here[j] = k = before.get(j - 1, 0) + 1 if i == last + 1 else 1
+                    if k > size:
+                        at, to, size = i - k + 1, j - k + 1, k
+            before, last = here, i
+        while at > a0 and to > b0 and a[at - 1] == b[to - 1]:
+            at, to, size = at - 1, to - 1, size + 1
+        while at + size < a1 and to + size < b1 and a[at + size] == b[to + size]:
+            size += 1
+        if size:
+            total += size
+            todo += [x for x in ((a0, at, b0, to), (at + size, a1, to + size, b1)) if x[0] < x[1] and x[2] < x[3]]
+    return 2.0 * total / (len(a) + len(b))
+
+
 @F.pandas_udf(DoubleType())
 def matched_share(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the characters matched in order over both lengths; two empty texts are alike."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def alike(least: float):
+    """A function of columns a, b: whether their matched share is ``least`` or more, by their common characters first; a null is like nothing."""
+
+    @F.pandas_udf(BooleanType())
+    def judged(a: pd.Series, b: pd.Series) -> pd.Series:
+        counts = lru_cache(64)(Counter)  # a text is compared with a few others in turn
+        near = lambda x, y: x is not None and y is not None and 2 * (counts(x) & counts(y)).total() >= least * (len(x) + len(y)) and ratio(x, y) >= least
+        return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    return judged
 
 
 def char_counts(text: Column) -> Column:
@@ -88,9 +140,11 @@ def repeat_references(decisions: DataFrame, rows: DataFrame, least: float = REPE
     """
     asked = decisions.select("rec", "id", "quote", "own", F.explode_outer("reference_ids").alias("reference"))
     known = rows.select("rec", F.col("id").alias("reference"), F.col("plain").alias("b"), F.lit(True).alias("known"))
-    met = with_counts(with_counts(asked.join(known, ["rec", "reference"], "left"), "quote", "a_counts"), "b", "b_counts").withColumnRenamed("quote", "a")
-    others = met.where(F.col("known") & ~F.array_contains("own", F.col("reference")))
-    alike = similar_pairs(others, least).select("rec", "id").distinct().withColumn("alike", F.lit(True))
-    unknown = met.groupBy("rec", "id").agg(F.bool_or(F.col("reference").isNotNull() & F.col("known").isNull()).alias("unknown"))
-    rule = F.when(F.col("unknown"), "unknown_reference").when(F.col("alike").isNull(), "no_other_telling")
-    return unknown.join(alike, ["rec", "id"], "left").select("rec", "id", rule.alias("violation"))
+    met = asked.join(known, ["rec", "reference"], "left")
+    both = F.length("quote") + F.length("b")
+    other = F.col("known") & ~F.array_contains("own", F.col("reference")) & (2 * F.least(F.length("quote"), F.length("b")) >= least * both)
+    pair = lambda c: F.when(other, F.col(c))
+    met = met.select("rec", "id", (F.col("reference").isNotNull() & F.col("known").isNull()).alias("unknown"), pair("quote").alias("a"), pair("b").alias("b"))
+    told = met.select("rec", "id", "unknown", alike(least)("a", "b").alias("alike"))
+    rule = F.when(F.bool_or("unknown"), "unknown_reference").when(~F.bool_or("alike"), "no_other_telling")
+    return told.groupBy("rec", "id").agg(rule.alias("violation"))
