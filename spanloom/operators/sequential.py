@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
-from itertools import accumulate, pairwise
+from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby, pairwise
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: The limits of a transcript window (characters, seconds, overlap, allowance a row), of a
 #: batch of rows (rows, characters of JSON), of a caption (characters, seconds, gap), and the overlap of
@@ -21,6 +25,31 @@ CUE_CHARS, CUE_MS, CUE_GAP_MS = 36, 6_000, 800
 NMS_OVERLAP = 0.35
 
 
+#: Rows of a batch that a pass hands on.
+OUT_ROWS = 10_000
+
+
+def ordered_pass(rows: DataFrame, order: list[str | Column], run: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """What ``run`` makes of each recording's rows (rec first) in order; recordings follow each other in a task, without a frame each."""
+    out, types = zip(*((name, {"long": pa.int64(), "string": pa.string()}[kind]) for name, kind in map(str.split, schema.split(", "))), strict=True)
+
+    def handed(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names=list(out))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in groupby(stream, itemgetter(0)):
+            found += run(list(group))
+            if len(found) >= OUT_ROWS:
+                yield handed(found)
+                found = []
+        if found:
+            yield handed(found)
+
+    return rows.repartition("rec").sortWithinPartitions("rec", *order).mapInArrow(each, schema)
+
+
 def _sums(sizes: list[int]) -> list[int]:
     """What all rows before each place take together."""
     return [0, *accumulate(sizes)]
@@ -89,12 +118,12 @@ def cue_numbers(chars: list[int], starts: list[int], ends: list[int]) -> list[in
 def cue_groups(words: DataFrame) -> DataFrame:
     """rec, cue, s, e, text of words (rec, id, s, e, text) joined into captions."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["s", "e", "id"])
-        group = group.assign(cue=cue_numbers(group["text"].str.len().tolist(), group["s"].tolist(), group["e"].tolist()))
-        return group.groupby(["rec", "cue"], as_index=False).agg(s=("s", "min"), e=("e", "max"), text=("text", " ".join))
+    def run(group: list[tuple]) -> list[tuple]:
+        rec, starts, ends, texts = group[0][0], [x[1] for x in group], [x[2] for x in group], [x[4] for x in group]
+        cues = groupby(zip(cue_numbers([len(x) for x in texts], starts, ends), starts, ends, texts, strict=True), itemgetter(0))
+        return [(rec, cue, min(x[1] for x in held), max(x[2] for x in held), " ".join(x[3] for x in held)) for cue, held in ((cue, list(x)) for cue, x in cues)]
 
-    return words.groupBy("rec").applyInPandas(run, "rec long, cue long, s long, e long, text string")
+    return ordered_pass(words.select("rec", "s", "e", "id", "text"), ["s", "e", "id"], run, "rec long, cue long, s long, e long, text string")
 
 
 def suppress(rows: list[tuple[int, int, float]], limit: int | None = None) -> list[int]:
@@ -133,8 +162,8 @@ def match_pairs(pairs: list[tuple[float, int, int]], threshold: float = 0.5) ->
 def greedy_match(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """rec, cut, gold of pairs (rec, ratio, cut, gold)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = match_pairs(list(zip(group["ratio"].tolist(), group["cut"].tolist(), group["gold"].tolist(), strict=True)), threshold)
-        return pd.DataFrame([(group["rec"].iloc[0], c, g) for c, g in found], columns=["rec", "cut", "gold"])
+    def run(group: list[tuple]) -> list[tuple]:
+        return [(group[0][0], cut, gold) for cut, gold in match_pairs([x[1:] for x in group], threshold)]
 
-    return pairs.groupBy("rec").applyInPandas(run, "rec long, cut long, gold long")
+    good = pairs.select("rec", "ratio", "cut", "gold").where((F.col("ratio") >= threshold) & ~F.isnan("ratio"))
+    return ordered_pass(good, [F.desc("ratio")], run, "rec long, cut long, gold long")
