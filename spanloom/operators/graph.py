@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import sorted_join
+
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder; a session on this machine alone may do without one, and gets a folder of its own."""
@@ -30,11 +32,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = settled(one_way.unionByName(one_way.select("rec", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settled(nodes.select("rec", "id").distinct().withColumn("label", F.col("id")))
     while True:
-        near = both.join(labels.select("rec", F.col("id").alias("b"), F.col("label").alias("there")), ["rec", "b"])
+        near = sorted_join(both, labels.select("rec", F.col("id").alias("b"), F.col("label").alias("there")), ["rec", "b"])
         near = near.groupBy("rec", F.col("a").alias("id")).agg(F.min("there").alias("there"))
-        low = settled(labels.join(near, ["rec", "id"], "left").select("rec", "id", F.col("label").alias("was"), F.least("label", "there").alias("label")))
+        low = settled(sorted_join(labels, near, ["rec", "id"], "left").select("rec", "id", F.col("label").alias("was"), F.least("label", "there").alias("label")))
         top = low.select("rec", F.col("id").alias("label"), F.col("label").alias("top"))
-        new = settled(low.join(top, ["rec", "label"]).select("rec", "id", "was", F.col("top").alias("label")))
+        new = settled(sorted_join(low, top, ["rec", "label"]).select("rec", "id", "was", F.col("top").alias("label")))
         if new.where("was <> label").isEmpty():
             return new.select("rec", "id", F.col("label").alias("component"))
         labels = new.select("rec", "id", "label")

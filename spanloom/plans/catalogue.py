@@ -377,7 +377,7 @@ def story_components(spark, d):
 ), comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
 SELECT e.rec, c.component, min(e.s) AS s, max(e.e) AS e, count(*) AS members, arg_max(e.id, (e.e - e.s) * 100000000 - e.id) AS best_id FROM comp c JOIN ev e ON e.id = c.id GROUP BY e.rec, c.component HAVING count(*) > 1""")
 def window_merge(spark, d):
-    rows = story_components(spark, d).join(ev(spark, d).select("id", "s", "e"), "id")
+    rows = iv.sorted_join(story_components(spark, d), ev(spark, d).select("id", "s", "e"), "id")
     best = F.max_by("id", (F.col("e") - F.col("s")) * 100_000_000 - F.col("id"))
     return rows.groupBy("rec", "component").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("members"), best.alias("best_id")).where("members > 1")
 
