@@ -65,7 +65,8 @@ def reliable_rows(spark, d):
     s, e = F.col("s"), F.col("e")
     fits = (e > s) & (s >= F.coalesce("before", F.col("row_s") - PADDING_MS) - EPS) & (s >= F.col("row_s") - PADDING_MS - EPS) & (e <= F.col("row_e") + PADDING_MS + EPS)
     told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), "")
-    found = _shifted(spark, d).groupBy("rec", "row").agg(F.bool_and(fits).alias("fits"), told.alias("told"), F.first("text").alias("text"))
+    found = _shifted(spark, d).groupBy("rec", "row").agg(F.bool_and(fits).alias("fits"), told.alias("told"))
+    found = found.join(sentences(spark, d).select("rec", F.col("id").alias("row"), "text"), ["rec", "row"])
     return found.select("rec", "row", (F.col("fits") & (F.col("told") == F.replace("text", F.lit(" "), F.lit("")))).alias("reliable"))
 
 
