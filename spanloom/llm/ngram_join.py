@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .kept import only
 from .workspace import Workspace, documents
 
 QUERY = "op10_ngram_join"
@@ -129,6 +130,7 @@ def _buckets(grams: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    only(QUERY)
     for batch in batches:
         for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
             yield part, shingle_sets(part.column(column).to_pylist(), words)

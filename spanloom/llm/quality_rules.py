@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from .kept import only
 from .workspace import Workspace, documents, unused
 
 QUERY = "op7_quality_rules"
@@ -121,6 +122,7 @@ def measure(text: str | None) -> tuple[tuple[int, ...], str]:
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only(QUERY)
     for batch in batches:
         out = [measure(x.as_py()) for x in batch.column(1)]
         figures = list(zip(*(x for x, _ in out), strict=True)) or [[]] * 6
@@ -187,6 +189,7 @@ def keep_good(docs: DataFrame, ws: Workspace, threshold: float = 0.5) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(QUERY)
         for batch in batches:
             out = [measure(x.as_py()) for x in batch.column(at)]
             added = [pa.array([bool(x[5]) for x, _ in out], pa.bool_()), pa.array([v for _, v in out], pa.string())]

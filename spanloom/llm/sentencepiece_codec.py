@@ -16,7 +16,6 @@ import heapq
 import itertools
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
 from hashlib import sha256
 
 import ahocorasick
@@ -26,6 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
+from .kept import kept
 from .workspace import documents
 
 QUERY = "op9_sentencepiece_codec"
@@ -213,9 +213,8 @@ def _loose(raw: bytes) -> str:
     return "".join(out)
 
 
-@cache
 def codec(model_file: str) -> PieceCodec:
-    return PieceCodec(model_file)
+    return kept(QUERY, model_file, lambda: PieceCodec(model_file))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
