@@ -395,7 +395,8 @@ def ledger_refresh(spark, d):
 
 
 def _snapped(df):
-    return df.withColumns({"s": F.floor(F.col("s") / 10) * 10, "e": F.floor(F.col("e") / 10) * 10 + 10})
+    """Times in whole steps of 10 ms, cut towards 0 as the SQL's ``//`` does, so also those before 1970."""
+    return df.withColumns({"s": F.expr("s div 10 * 10"), "e": F.expr("e div 10 * 10 + 10")})
 
 
 @query(f"""WITH {EV}, {CANDIDATES}, x AS (SELECT rec, id, s // 10 * 10 AS s, e // 10 * 10 + 10 AS e, status FROM candidates), k AS (SELECT * FROM x WHERE status = 'suggested'),

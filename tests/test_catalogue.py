@@ -41,3 +41,14 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert catalogue.flagship(spark, DATA).count() > 0
+
+
+def test_ledger_restore_before_1970(spark, tmp_path):
+    ends = {0: (-30_995, -995), 1: (-50_007, -40_001), 2: (-20_003, -10_009), 3: (-5_991, 2_013)}  # blocked, suggested, applied, applied
+    events = pd.DataFrame({"event_id": list(ends), "user_id": 1, "event_type": "view", "ts": pd.to_datetime([s for s, _ in ends.values()], unit="ms").astype("datetime64[us]"), "value": [(e - s + 0.5) / 600_000 for s, e in ends.values()]})
+    events.to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    found = rows(catalogue.ledger_restore(spark, str(tmp_path)).toPandas())
+    assert found == rows(con.sql(catalogue.oracle_sql()["ledger_restore"]).df())
+    assert found == rows(pd.DataFrame([(1, -50_000, -39_990), (1, -30_990, -20_000), (1, -9_990, -5_990)], columns=["rec", "s", "e"]))
